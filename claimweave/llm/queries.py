@@ -4,10 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import encoding, leakage, repetition
+from claimweave.llm import credentials, encoding, handwritten, leakage, repetition, syntax
 from claimweave.sources.tables import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credentials(
+        table(spark, d, "k8s_resources", "resource_id", "containers"), table(spark, d, "docker_resources", "docker_id", "env_pairs"), table(spark, d, "files", "file_id", "content"), table(spark, d, "documents", "doc_id", "text")
+    )
+
+
+def p5_redacted_files(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_texts(table(spark, d, "files", "file_id", "content"), "file_id", "content")
+
+
+def p5_redacted_docs(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p5_redacted_values(spark: SparkSession, d: str) -> DataFrame:
+    k8s = credentials.k8s_values(table(spark, d, "k8s_resources", "resource_id", "containers"))
+    return credentials.redacted_values(k8s.unionByName(credentials.docker_values(table(spark, d, "docker_resources", "docker_id", "env_pairs"))))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files", "file_id", "repo_id", "path", "name", "language", "content")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(_files(spark, d))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(_files(spark, d), table(spark, d, "scan_meta", "scan_id", "repo_id", "parse_failures", "scanned_at", "delivered_at"))
+
+
+def p6_causes(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.causes(_files(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(_files(spark, d))
+
+
+def p7_labels(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.beliefs(_files(spark, d)).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
@@ -28,5 +71,8 @@ def p10_line_frequency(spark: SparkSession, d: str) -> DataFrame:
     return repetition.line_frequency(table(spark, d, "documents", "doc_id", "text", "repo_id"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p10_found, p10_shares, p10_line_frequency)}
+QUERIES = {
+    f.__name__: f
+    for f in (p5_found, p5_redacted_files, p5_redacted_docs, p5_redacted_values, p6_found, p6_rates, p6_causes, p7_found, p7_labels, p8_ids, p9_found, p10_found, p10_shares, p10_line_frequency)
+}
 SQL: dict[str, str] = {}
