@@ -37,6 +37,15 @@ COMPATIBLE = (
     (-5.0, 0.0, 0.0, 4.0, 0.0),
     (0.0, 0.0, 0.0, 0.0, 0.5),
 )
+#: The same between a directory and a directory in it. A directory with a telling name starts a tree of its own: it says
+#: nothing about the directory above it, nor that one about it.
+BETWEEN = (
+    (0.0, 0.0, 0.0, 0.0, 0.0),
+    (0.0, 0.5, 0.0, 0.0, 0.0),
+    (0.0, 0.0, 0.5, 0.0, 0.0),
+    (-5.0, 0.0, 0.0, 14.0, 0.0),
+    (0.0, 0.0, 0.0, 0.0, 0.5),
+)
 #: Directory names of third-party code (fixed values).
 VENDOR_DIRS = ("vendor", "vendored", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "godeps", "site-packages", "dist-packages", "deps", "external", "externals", "contrib", ".bundle", "jspm_packages")
 #: File names of lock files (fixed values).
@@ -110,14 +119,14 @@ def file_evidence(files: DataFrame) -> DataFrame:
     return slim.mapInPandas(run, "file_id bigint, repo_id string, dir string, e0 double, e1 double, e2 double, e3 double, e4 double")
 
 
-def _up(cols: list[Column]) -> list[Column]:
+def _up(cols: list[Column], ties=COMPATIBLE) -> list[Column]:
     """Message from a member with log beliefs `cols` to its directory: the best label of the member for each of the directory."""
-    return [F.greatest(*[c + F.lit(COMPATIBLE[p][k]) for k, c in enumerate(cols)]) for p in range(5)]
+    return [F.greatest(*[c + F.lit(ties[p][k]) for k, c in enumerate(cols)]) for p in range(5)]
 
 
-def _down(cols: list[Column]) -> list[Column]:
+def _down(cols: list[Column], ties=COMPATIBLE) -> list[Column]:
     """Message from a directory with log beliefs `cols` (without the member's own) to a member."""
-    return [F.greatest(*[c + F.lit(COMPATIBLE[p][k]) for p, c in enumerate(cols)]) for k in range(5)]
+    return [F.greatest(*[c + F.lit(ties[p][k]) for p, c in enumerate(cols)]) for k in range(5)]
 
 
 def _named(cols: list[Column], prefix: str) -> list[Column]:
@@ -138,8 +147,9 @@ def beliefs(files: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.when(k == 0, "").otherwise(F.array_join(F.slice(parts, 1, F.greatest(k, F.lit(1))), "/")))
     every = own.select("repo_id", F.explode(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(above)).alias("dir")).distinct()
     last = F.lower(F.element_at(parts, -1))
-    unary = [F.lit(DIR_PRIOR[i]) + (F.when(last.isin(*VENDOR_DIRS), 2 * STRONG).otherwise(0.0) if i == 3 else F.lit(0.0)) for i in five]
-    dirs = every.join(own, ["repo_id", "dir"], "left").select("repo_id", "dir", depth.alias("depth"), *[(unary[i] + F.coalesce(f"s{i}", F.lit(0.0))).alias(f"b{i}") for i in five])
+    named = last.isin(*VENDOR_DIRS)
+    unary = [F.lit(DIR_PRIOR[i]) + (F.when(named, 2 * STRONG).otherwise(0.0) if i == 3 else F.lit(0.0)) for i in five]
+    dirs = every.join(own, ["repo_id", "dir"], "left").select("repo_id", "dir", depth.alias("depth"), named.alias("named"), *[(unary[i] + F.coalesce(f"s{i}", F.lit(0.0))).alias(f"b{i}") for i in five])
     dirs = materialize(dirs)
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
     parent = F.when(F.col("depth") <= 1, "").otherwise(F.regexp_replace("dir", r"/[^/]*$", ""))
@@ -151,14 +161,15 @@ def beliefs(files: DataFrame) -> DataFrame:
         level = dirs.where(F.col("depth") == k)
         if sent is not None:
             got = sent.groupBy("repo_id", F.col("parent").alias("dir")).agg(*sums("m"))
-            level = level.join(got, ["repo_id", "dir"], "left").select("repo_id", "dir", "depth", *[(b[i] + F.coalesce(f"s{i}", F.lit(0.0))).alias(f"b{i}") for i in five])
-        level = materialize(level.select("repo_id", "dir", parent.alias("parent"), *b, *_named(_up(b), "m")))
+            level = level.join(got, ["repo_id", "dir"], "left").select("repo_id", "dir", "depth", "named", *[(b[i] + F.coalesce(f"s{i}", F.lit(0.0))).alias(f"b{i}") for i in five])
+        says = [F.when(F.col("named"), 0.0).otherwise(m) for m in _up(b, BETWEEN)]
+        level = materialize(level.select("repo_id", "dir", "named", parent.alias("parent"), *b, *_named(says, "m")))
         done[k] = sent = level
     # Down: each directory hears from its parent what its own message did not say.
     full = {0: done[0].select("repo_id", "dir", *b)}
     for k in range(1, deepest + 1):
         over = full[k - 1].select("repo_id", F.col("dir").alias("parent"), *[F.col(f"b{i}").alias(f"o{i}") for i in five])
-        heard = _down([F.col(f"o{i}") - F.col(f"m{i}") for i in five])
+        heard = [F.when(F.col("named"), 0.0).otherwise(m) for m in _down([F.col(f"o{i}") - F.col(f"m{i}") for i in five], BETWEEN)]
         full[k] = materialize(done[k].join(over, ["repo_id", "parent"]).select("repo_id", "dir", *[(b[i] + heard[i]).alias(f"b{i}") for i in five]))
     total = full[0]
     for k in range(1, deepest + 1):
