@@ -43,7 +43,7 @@ BETWEEN = (
     (0.0, 0.0, 0.0, 0.0, 0.0),
     (0.0, 0.5, 0.0, 0.0, 0.0),
     (0.0, 0.0, 0.5, 0.0, 0.0),
-    (-5.0, 0.0, 0.0, 14.0, 0.0),
+    (-5.0, 0.0, 0.0, 12.0, 0.0),
     (0.0, 0.0, 0.0, 0.0, 0.5),
 )
 #: Directory names of third-party code (fixed values).
