@@ -127,6 +127,8 @@ def written_out(value: str) -> bool:
         return False
     if re.match(r"(?:/|\.{1,2}/|~/|[A-Za-z]:\\|https?://|[a-z]+:[a-z]+/|vault:|arn:|file:)", value):
         return False
+    if re.fullmatch(r"[A-Za-z]+=[a-z-]+", value):
+        return False
     if re.match(r"[A-Za-z_][\w.]*[(\[]|[a-z_]+(?:\.[a-z_]+)+\Z", value) or value.isdigit():
         return False
     digit = any(c.isdigit() for c in value)
@@ -150,7 +152,8 @@ class Finder:
             return False
         flips = sum(a.islower() and b.isupper() for a, b in zip(bare, bare[1:]))
         if not any(c.isdigit() for c in bare) and flips < 3:
-            return False
+            # Key ids can be capitals alone: one unbroken run that is mostly no words.
+            return bare.isalpha() and bare.isupper() and self.words.residual(bare) >= 0.6 * len(bare)
         return self.words.residual(bare) >= RESIDUAL
 
     def value(self, name: str, value: str | None, reference: bool = False) -> list[tuple[int, int]]:
