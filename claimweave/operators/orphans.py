@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from claimweave.runtime import blank_to_null, heavy_keys, month_of
 
-FOREVER = F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00"))
+#: End of rows that still live.
+FOREVER = "9999-12-31 00:00:00"
 
 
 def references(edges: DataFrame, rid: str = "edge_id", ends: dict[str, str] | None = None, at: str = "loaded_at") -> DataFrame:
@@ -34,7 +35,7 @@ def references(edges: DataFrame, rid: str = "edge_id", ends: dict[str, str] | No
 def histories(nodes: DataFrame, key: str = "id", start: str = "loaded_at", end: str = "deleted_at") -> tuple[DataFrame, DataFrame]:
     """Per key the days on which rows were loaded with the latest end of each day (an array as long as the number of
     such days, however many rows a key has), and the rows themselves by key and day."""
-    rows = nodes.select(blank_to_null(key).alias("key"), F.col(start).alias("lo"), F.coalesce(F.col(end), FOREVER).alias("hi")).where("key is not null")
+    rows = nodes.select(blank_to_null(key).alias("key"), F.col(start).alias("lo"), F.coalesce(F.col(end), F.to_timestamp_ntz(F.lit(FOREVER))).alias("hi")).where("key is not null")
     days = rows.groupBy("key", F.to_date("lo").alias("day")).agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
     per_key = days.groupBy("key").agg(F.min("lo").alias("first_lo"), F.collect_list(F.struct("day", "hi")).alias("days"))
     return per_key, rows.withColumn("day", F.to_date("lo"))

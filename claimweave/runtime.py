@@ -88,7 +88,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, total: int, how: st
 def month_of(ts) -> F.Column:
     """`YYYY-MM` of a timestamp without zone."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.concat_ws("-", F.lpad(F.year(c).cast("string"), 4, "0"), F.lpad(F.month(c).cast("string"), 2, "0"))
+    return F.concat(F.lpad(F.year(c).cast("string"), 4, "0"), F.lit("-"), F.lpad(F.month(c).cast("string"), 2, "0"))
 
 
 def blank_to_null(c) -> F.Column:
