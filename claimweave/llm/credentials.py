@@ -50,7 +50,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _HASH_LEAD = re.compile(r"(?i)(?:sha(?:1|224|256|384|512)|md5)[-:=]\Z")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VARIABLE = re.compile(r"\$\{|\$\(|\$[A-Za-z_]|\{\{|%[A-Za-z_]+%|<[^>]*>|\A%\w|\A\*+\Z|\A[xX*.#_-]+\Z|\A@")
-_PLACEHOLDER = re.compile(r"(?i)(?:change[_ -]?(?:me|it|this)|replace[_ -]?(?:me|this)?|todo|tbd|fixme|not[_ -]?set|unset|none|null|nil|true|false|example|dummy|placeholder|redacted|masked|your[_ -].*|insert[_ -].*|x{3,}|\*{3,}|password|passwd|user_password|secret|token|undefined|empty|optional|required|default|env|vault.*|file.*)\Z")
+_PLACEHOLDER = re.compile(r"(?i)(?:change[_ -]?(?:me|it|this)|replace[_ -]?(?:me|this)?|todo|tbd|fixme|not[_ -]?set|unset|none|null|nil|true|false|example|dummy|placeholder|\[?redacted\]?|masked|your[_ -].*|insert[_ -].*|x{3,}|\*{3,}|password|passwd|user_password|secret|token|undefined|empty|optional|required|default|env|vault.*|file.*)\Z")
 _JOIN = re.compile(r"(['\"])[ \t]*\+?[ \t]*(?:\\?\r?\n[ \t]*)?\+?[ \t]*\1(?=[^\s'\"])")
 _CLOSE = re.compile(r"[\s\"'`<>|,;)\]}]")
 _NAME = re.compile(r"([A-Za-z_][\w.-]*)[\"'`\])}\s]*\Z")

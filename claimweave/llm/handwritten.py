@@ -81,7 +81,7 @@ def evidence(repo: str, path: str, name: str, text: str | None) -> tuple[float,
     for x in comments:
         if m := _NOTICE.search(x):
             holder = m.group(1).lower()
-            if owner and owner in holder:
+            if owner and re.search(rf"(?<![\w-]){re.escape(owner)}(?![\w-])", holder):
                 own = True
             elif holder.strip(" ."):
                 foreign = True

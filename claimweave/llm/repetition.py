@@ -109,7 +109,7 @@ def line_frequency(docs: DataFrame, rid: str = "doc_id", text: str = "text", hos
     lines = docs.select(F.col(rid).alias("rid"), F.coalesce(host, F.lit("")).alias("host"), F.explode(F.split(text, r"\r?\n")).alias("line"))
     hashed = lines.select("rid", "host", F.xxhash64(norm).alias("h")).where(F.length(F.trim("line")) > 0)
     per_doc = hashed.groupBy("rid", "host", "h").agg(F.count("*").alias("n"))
-    hosts = docs.groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.approx_count_distinct(rid, 0.01).alias("n_docs"))
+    hosts = docs.groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.count_distinct(rid).alias("n_docs"))
     counted = per_doc.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > most_docs).join(hosts, "host")
     common = counted.where((F.col("docs") > most_share * F.col("n_docs")) | (F.col("docs") > 10 * most_docs))
     key = F.concat_ws(":", F.col("h").cast("string"), "host")
