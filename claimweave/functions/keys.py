@@ -143,7 +143,7 @@ def git_repo(url: Column) -> Column:
     pat = r"^(?:https?://|git@|ssh://git@)([A-Za-z0-9.-]+)[:/]([\w.-]+)/([\w.-]+?)(?:\.git)?/?$"
     at = lambda i: F.regexp_extract(F.trim(url), pat, i)
     plain = F.concat_ws("_", at(2), at(3))
-    return F.when(at(1) == "", None).when(F.lower(at(1)) == "github.com", plain).otherwise(F.concat_ws("_", F.translate(F.lower(at(1)), ".", "-"), plain))
+    return F.when(url.isNull() | (at(1) == ""), None).when(F.lower(at(1)) == "github.com", plain).otherwise(F.concat_ws("_", F.translate(F.lower(at(1)), ".", "-"), plain))
 
 
 def url_class(url: Column) -> Column:

@@ -45,7 +45,8 @@ def match_http(calls: DataFrame, contracts: DataFrame, cap: int = CAP, exact: fl
     base = c.select("call_id", "repo_id").join(n, "call_id", "left").withColumn("n_contracts", F.coalesce("n_contracts", F.lit(0)))
     outcome = F.when(F.col("n_contracts") == 0, "unmatched").when(F.col("n_contracts") > cap, "fanout").otherwise("matched")
     conf = F.when(F.col("is_exact") == 1, exact).otherwise(template)
-    out = base.withColumn("outcome", outcome).join(hit.withColumn("_ok", F.lit("matched")), (base["call_id"] == hit["call_id"]) & (F.col("outcome") == F.col("_ok")), "left").drop(hit["call_id"])
+    taken = hit.select(F.col("call_id").alias("_call"), F.lit("matched").alias("_ok"), "contract_id", "provider_repo", "is_exact")
+    out = base.withColumn("outcome", outcome).join(taken, (F.col("call_id") == F.col("_call")) & (F.col("outcome") == F.col("_ok")), "left")
     return out.select("call_id", "repo_id", "contract_id", "provider_repo", F.when(F.col("outcome") == "matched", conf).alias("confidence"), "n_contracts", "outcome")
 
 
