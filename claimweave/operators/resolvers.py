@@ -36,18 +36,35 @@ def match_http(calls: DataFrame, contracts: DataFrame, cap: int = CAP, exact: fl
     Methods are equal or the contract takes ANY; templates are equal up to the names of their parameters; a named service
     must be the contract's. One row per matched contract, or one row per call that has none or too many."""
     c = calls.select("call_id", "repo_id", keys.http_method(F.col("method")).alias("m"), F.col("template").alias("t"), "service").distinct()
-    c = c.withColumn("p", keys.positional(F.col("t")))
+    c = materialize(c.withColumn("p", keys.positional(F.col("t"))))
     own = contracts.select("contract_id", F.col("repo_id").alias("provider_repo"), F.upper("method").alias("method"), F.col("template").alias("ct"), F.col("service").alias("cs")).distinct().withColumn("p", keys.positional(F.col("ct")))
-    tried = c.withColumn("method", F.explode(F.array_distinct(F.array("m", F.lit("ANY")))))
-    hit = tried.join(own, ["p", "method"]).where(F.col("service").isNull() | (F.col("service") == F.col("cs")))
-    hit = same_repo_first(hit, ["call_id"]).groupBy("call_id", "contract_id").agg(F.max((F.col("t") == F.col("ct")).cast("int")).alias("is_exact"), F.min("provider_repo").alias("provider_repo"))
-    n = hit.groupBy("call_id").agg(F.count("*").alias("n_contracts"))
-    base = c.select("call_id", "repo_id").join(n, "call_id", "left").withColumn("n_contracts", F.coalesce("n_contracts", F.lit(0)))
-    outcome = F.when(F.col("n_contracts") == 0, "unmatched").when(F.col("n_contracts") > cap, "fanout").otherwise("matched")
-    conf = F.when(F.col("is_exact") == 1, exact).otherwise(template)
-    taken = hit.select(F.col("call_id").alias("_call"), F.lit("matched").alias("_ok"), "contract_id", "provider_repo", "is_exact")
-    out = base.withColumn("outcome", outcome).join(taken, (F.col("call_id") == F.col("_call")) & (F.col("outcome") == F.col("_ok")), "left")
-    return out.select("call_id", "repo_id", "contract_id", "provider_repo", F.when(F.col("outcome") == "matched", conf).alias("confidence"), "n_contracts", "outcome")
+    own = materialize(own)
+    with_service = _http_candidates(c.where("service is not null"), own, ["p", "m", "service"], cap)
+    without = _http_candidates(c.where("service is null"), own, ["p", "m"], cap)
+    hit = with_service.unionByName(without)
+    conf = F.when(F.col("outcome") == "matched", F.when(F.col("is_exact") == 1, exact).otherwise(template))
+    return hit.select("call_id", "repo_id", "contract_id", "provider_repo", conf.alias("confidence"), "n_contracts", "outcome")
+
+
+def _http_candidates(calls: DataFrame, own: DataFrame, on: list[str], cap: int) -> DataFrame:
+    """Contracts are counted per distinct key before any call is expanded; calls of keys beyond the cap are declined from the
+    counts, so a call never has more rows than the cap."""
+    wanted = calls.select(*on).distinct()
+    named = own.withColumn("service", F.col("cs")) if "service" in on else own
+    keyed = wanted.join(named, [x for x in on if x != "m"]).where((F.col("method") == F.col("m")) | (F.col("method") == "ANY"))
+    keyed = keyed.groupBy(*on, "contract_id", "provider_repo").agg(F.collect_set("ct").alias("cts"))
+    keyed = materialize(keyed)
+    every = keyed.groupBy(*on).agg(F.count_distinct("contract_id").alias("n_all"))
+    same = keyed.groupBy(*on, F.col("provider_repo").alias("repo_id")).agg(F.count_distinct("contract_id").alias("n_same"))
+    counted = calls.select("call_id", "repo_id", "t", *on).join(every, on, "left").join(same, [*on, "repo_id"], "left")
+    n = F.coalesce("n_same", "n_all", F.lit(0)).cast("bigint")
+    counted = counted.withColumn("n_contracts", n).withColumn("outcome", F.when(n == 0, "unmatched").when(n > cap, "fanout").otherwise("matched"))
+    few = keyed.join(every.where(F.col("n_all") <= cap), on, "left_semi")
+    inside = counted.where("outcome = 'matched' and n_same is not null").join(keyed.withColumn("repo_id", F.col("provider_repo")), [*on, "repo_id"])
+    outside = counted.where("outcome = 'matched' and n_same is null").join(few, on)
+    hit = inside.unionByName(outside.select(*inside.columns)).groupBy("call_id", "repo_id", "contract_id", "n_contracts", "outcome").agg(F.max(F.array_contains("cts", F.col("t")).cast("int")).alias("is_exact"), F.min("provider_repo").alias("provider_repo"))
+    none = counted.where("outcome <> 'matched'").select("call_id", "repo_id", F.lit(None).cast("string").alias("contract_id"), "n_contracts", "outcome", F.lit(0).alias("is_exact"), F.lit(None).cast("string").alias("provider_repo"))
+    return hit.unionByName(none)
 
 
 def match_grpc(stubs: DataFrame, operations: DataFrame, cap: int = CAP) -> DataFrame:
