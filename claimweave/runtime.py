@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,20 @@ def session(app: str = "claimweave", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once; needed where it is not installed on executors."""
+    context = spark.sparkContext
+    if getattr(context, "_claimweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="claimweave-"), "claimweave.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, os.path.join("claimweave", str(p.relative_to(root))))
+    context.addPyFile(path)
+    context._claimweave_shipped = True
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates: spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
