@@ -156,7 +156,7 @@ class Hierarchy:
         done = levels[0]
         for x in levels[1:]:
             done = done.unionByName(x)
-        self.chain_bases = done
+        self.chained, self.hung = chained, hung
         self.nodes = materialize(chained.join(done, "head").select("v", "up", "w", "size", "head", "pos", (F.col("base") + F.col("pos")).alias("depth"), "root"))
 
     def inner_rows(self) -> DataFrame:
@@ -185,3 +185,53 @@ class Hierarchy:
             F.col("child").alias("node_id"), "root_id", F.when(F.col("depth") < 0, -1).otherwise(F.col("depth") + 1).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("n_below"), F.lit(0).cast("bigint").alias("in_cycle")
         )
         return inner.unionByName(leaves)
+
+    def _offsets(self) -> DataFrame:
+        """v, offset: how far the number of a light child lies behind that of its parent. The heavy child comes first, then
+        the light ones in groups of a hash, so the children of one parent never meet in one window."""
+        light = self.chained.where("pos = 0 and up is not null").select("v", "up", "size", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("salt"))
+        heavy = self.chained.where("pos > 0").select("up", F.col("size").alias("heavy"))
+        groups = light.groupBy("up", "salt").agg(F.sum("size").alias("s"))
+        groups = groups.select("up", "salt", (F.sum("s").over(Window.partitionBy("up").orderBy("salt")) - F.col("s")).alias("before"))
+        own = F.sum("size").over(Window.partitionBy("up", "salt").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+        placed = light.withColumn("within", own).join(groups, ["up", "salt"]).join(heavy, "up", "left")
+        return placed.select(F.col("v").alias("head"), (1 + F.coalesce("heavy", F.lit(0)) + F.col("before") + F.col("within")).alias("offset"))
+
+    def paths(self) -> DataFrame:
+        """One row per node: node_id, path (ids from the root joined by ` > `, '' on and below loops), tree_id, first, last.
+
+        A node's path is the prefix of its chain and the chain's segment up to it. In a tree (named by its head; the trees
+        below a loop hang on the nodes of the loop) the nodes below a node are those numbered first + 1 to last."""
+        names = self.inner.select("v", "id")
+        segments = self.chained.join(names, "v").groupBy("head").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
+        segments = materialize(segments.select("head", F.transform("s", lambda x: x["id"]).alias("segment")))
+        hung = self.hung.join(self._offsets(), "head", "left")
+        empty = F.array().cast("array<string>")
+        level = materialize(hung.where("over is null").select("head", F.col("head").alias("tree"), F.lit(0).cast("bigint").alias("start"), empty.alias("prefix")))
+        levels = [level]
+        rest = materialize(hung.where("over is not null").select("head", "over", "over_pos", "offset"))
+        while level.limit(1).count():
+            above = level.join(segments, "head").select(F.col("head").alias("over"), "tree", "start", "prefix", "segment")
+            level = rest.join(above, "over").select("head", "tree", (F.col("start") + F.col("over_pos") + F.col("offset")).alias("start"), F.concat("prefix", F.slice("segment", 1, F.col("over_pos").cast("int") + 1)).alias("prefix"))
+            level = materialize(level)
+            levels.append(level)
+        chains = levels[0]
+        for x in levels[1:]:
+            chains = chains.unionByName(x)
+        rows = self.chained.join(chains, "head").join(segments, "head").join(names, "v").join(self.below.withColumn("lost", F.lit(True)), "v", "left")
+        rows = rows.join(names.select(F.col("v").alias("tree"), F.col("id").alias("tree_id")), "tree")
+        path = F.concat("prefix", F.slice("segment", 1, F.col("pos").cast("int") + 1))
+        first = F.col("start") + F.col("pos")
+        inner = materialize(rows.select(F.col("id").alias("node_id"), F.when(F.col("lost"), empty).otherwise(path).alias("path"), "tree_id", first.alias("first"), (first + F.col("size") - 1).alias("last"), "w", F.coalesce("lost", F.lit(False)).alias("lost")))
+
+        leaf = self.links.join(inner.select(F.col("node_id").alias("child")), "child", "left_anti").withColumn("salt", F.pmod(F.xxhash64("child"), F.lit(SALTS)))
+        groups = leaf.groupBy("parent", "salt").agg(F.count("*").alias("n"))
+        groups = groups.select("parent", "salt", (F.sum("n").over(Window.partitionBy("parent").orderBy("salt")) - F.col("n")).alias("before"))
+        rank = F.row_number().over(Window.partitionBy("parent", "salt").orderBy("child"))
+        leaf = leaf.withColumn("rank", rank).join(groups, ["parent", "salt"]).select("child", "parent", (F.col("before") + F.col("rank")).alias("nth"))
+        above = inner.select(F.col("node_id").alias("parent"), "path", "tree_id", "last", "w", "lost")
+        # The leaves of a node are the last numbers of its interval.
+        at = F.col("last") - (F.col("w") - 1) + F.col("nth")
+        joined = lookup_join(leaf, above, "parent", self.n)
+        leaves = joined.select(F.col("child").alias("node_id"), F.when(F.col("lost"), empty).otherwise(F.array_append("path", F.col("child"))).alias("path"), "tree_id", at.alias("first"), at.alias("last"))
+        return inner.drop("w", "lost").unionByName(leaves).withColumn("path", F.array_join("path", " > "))

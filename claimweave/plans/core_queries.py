@@ -33,6 +33,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.Hierarchy(hierarchy.containment(table(spark, d, "edges", "source_id", "target_id", "type", "status"))).rows()
 
 
+def p3_paths(spark: SparkSession, d: str) -> DataFrame:
+    h = hierarchy.Hierarchy(hierarchy.containment(table(spark, d, "edges", "source_id", "target_id", "type", "status")))
+    return h.paths().select("node_id", "path")
+
+
+def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
+    h = hierarchy.Hierarchy(hierarchy.containment(table(spark, d, "edges", "source_id", "target_id", "type", "status")))
+    return h.paths().select("node_id", "tree_id", "first", "last")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "artifacts"))
 
@@ -41,7 +51,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.change_counts(table(spark, d, "artifacts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_entities, p3_found, p4_found, p4_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_entities, p3_found, p3_paths, p3_intervals, p4_found, p4_counts)}
 _REFS = """e AS (SELECT DISTINCT edge_id, source_id, target_id, loaded_at FROM edges),
  r AS (SELECT edge_id, 'source' AS side, trim(source_id) AS k, loaded_at AS t FROM e UNION ALL SELECT edge_id, 'target', trim(target_id), loaded_at FROM e),
  n AS (SELECT DISTINCT trim(id) AS k, loaded_at AS lo, deleted_at AS hi FROM nodes),
@@ -82,6 +92,10 @@ SQL: dict[str, str] = {
  b AS (SELECT a AS v, count(*) FILTER (v <> a) AS n_below FROM u GROUP BY a)
  SELECT n.v AS node_id, CASE WHEN n.v IN (SELECT v FROM lost) THEN '' ELSE coalesce(root, n.v) END AS root_id, CASE WHEN n.v IN (SELECT v FROM lost) THEN -1 ELSE coalesce(depth, 0) END AS depth,
  coalesce(n_below, 0) AS n_below, CAST(n.v IN (SELECT v FROM loops) AS BIGINT) AS in_cycle FROM n LEFT JOIN d ON d.v = n.v LEFT JOIN b ON b.v = n.v""",
+    "p3_paths": """WITH RECURSIVE l AS (SELECT DISTINCT trim(CASE WHEN type = 'MEMBER_OF' THEN source_id ELSE target_id END) AS c, trim(CASE WHEN type = 'MEMBER_OF' THEN target_id ELSE source_id END) AS p FROM edges
+ WHERE status = 'active' AND type IN ('CONTAINS', 'DECLARES', 'MEMBER_OF') AND trim(coalesce(source_id, '')) <> '' AND trim(coalesce(target_id, '')) <> ''),
+ w AS (SELECT DISTINCT p AS v, p AS path FROM l WHERE p NOT IN (SELECT c FROM l) UNION ALL SELECT l.c, w.path || ' > ' || l.c FROM w JOIN l ON l.p = w.v)
+ SELECT n.v AS node_id, coalesce(w.path, '') AS path FROM (SELECT c AS v FROM l UNION SELECT p FROM l) n LEFT JOIN w ON w.v = n.v""",
     "p4_found": f"WITH {_SNAPS} SELECT * FROM c",
     "p4_counts": f"WITH {_SNAPS} SELECT repo_id, head_sha, count(*) FILTER (change_kind = 'added') AS n_added, count(*) FILTER (change_kind = 'removed') AS n_removed, count(*) FILTER (change_kind = 'changed') AS n_changed FROM c GROUP BY repo_id, head_sha",
 }

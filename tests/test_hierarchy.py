@@ -64,3 +64,28 @@ def test_empty_and_second_parent(spark):
     assert run(spark, []) == set()
     links = [("p2", "x"), ("p1", "x"), ("x", "y")]
     assert run(spark, links) == {("p1", "p1", 0, 2, 0), ("x", "p1", 1, 1, 0), ("y", "p1", 2, 0, 0)}
+
+
+def test_paths_and_intervals(spark):
+    random.seed(11)
+    links = [(f"c{i}", f"c{i + 1}") for i in range(25)] + [("hub", f"s{i}") for i in range(30)] + [("s1", f"s1x{i}") for i in range(9)] + [("c9", "hub"), ("l1", "l2"), ("l2", "l1"), ("l2", "below"), ("below", "deep")] + [(f"t{random.randrange(i)}", f"t{i}") for i in range(1, 40)]
+    par = {c: p for p, c in links}
+    rows = Hierarchy(containment(frame(spark, links))).paths().collect()
+    assert len(rows) == len(set(par) | set(par.values())) == len({r.node_id for r in rows})
+    lost = {"l1", "l2", "below", "deep"}
+    spot = {(r.tree_id, r.first): r.node_id for r in rows}
+    assert len(spot) == len(rows)
+    for r in rows:
+        way, x = [r.node_id], r.node_id
+        while r.node_id not in lost and x in par:
+            x = par[x]
+            way.insert(0, x)
+        assert r.path == ("" if r.node_id in lost else " > ".join(way))
+        below, todo = set(), [r.node_id]
+        while todo:
+            y = todo.pop()
+            for c, p in par.items():
+                if p == y and c not in below and c not in ("l1", "l2"):
+                    below.add(c)
+                    todo.append(c)
+        assert {spot[r.tree_id, k] for k in range(r.first + 1, r.last + 1)} == below
