@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.encoding import TOKENIZER_DIR
+from claimweave.runtime import spread
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Letters of a literal that no dictionary word explains, from which it counts as random.
@@ -360,7 +361,7 @@ def in_texts(df: DataFrame, origin: str, rid: str, text: str, folder: str | None
                 rows += [(origin, rec, str(n)) for n in sorted(lines)]
             yield pd.DataFrame(rows, columns=["origin", "rec_id", "spot"])
 
-    return df.select(F.col(rid).cast("bigint").alias("rec_id"), F.col(text).alias("text")).where("text is not null").mapInPandas(run, "origin string, rec_id bigint, spot string")
+    return spread(df.select(F.col(rid).cast("bigint").alias("rec_id"), F.col(text).alias("text")).where("text is not null")).mapInPandas(run, "origin string, rec_id bigint, spot string")
 
 
 def in_values(df: DataFrame, origin: str, folder: str | None = None) -> DataFrame:
@@ -406,7 +407,7 @@ def redacted_texts(df: DataFrame, rid: str, text: str, folder: str | None = None
             spans = [f.text(t) for t in b["text"]]
             yield pd.DataFrame({rid: b["rec_id"], text: [redact(t, s) for t, s in zip(b["text"], spans)], "n_masked": [len(s) for s in spans]})
 
-    return df.select(F.col(rid).cast("bigint").alias("rec_id"), F.col(text).alias("text")).mapInPandas(run, f"{rid} bigint, {text} string, n_masked bigint")
+    return spread(df.select(F.col(rid).cast("bigint").alias("rec_id"), F.col(text).alias("text"))).mapInPandas(run, f"{rid} bigint, {text} string, n_masked bigint")
 
 
 def redacted_values(values: DataFrame, folder: str | None = None) -> DataFrame:

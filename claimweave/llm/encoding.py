@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from claimweave.runtime import spread
+
 TOKENIZER_DIR = os.environ.get("CLAIMWEAVE_TOKENIZERS", "/opt/tokenizers")
 #: Pre-tokenizer of the vocabulary, as published with it (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,4 +181,4 @@ def encode_corpus(docs: DataFrame, rid: str = "doc_id", text: str = "text", voca
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, step), lists], names=[rid, "ids"])
 
     slim = docs.select(docs[rid].cast("bigint").alias(rid), docs[text].alias("text"))
-    return slim.mapInArrow(run, f"{rid} bigint, ids array<int>")
+    return spread(slim).mapInArrow(run, f"{rid} bigint, ids array<int>")

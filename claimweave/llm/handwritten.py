@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.runtime import lookup_join, materialize
+from claimweave.runtime import lookup_join, materialize, spread
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 #: Log potentials of a file without evidence, and of a directory without a telling name.
@@ -116,7 +116,7 @@ def file_evidence(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "repo_id", "dir", "e0", "e1", "e2", "e3", "e4"])
 
     slim = files.select(F.col("file_id").cast("bigint").alias("file_id"), "repo_id", "path", "name", "content")
-    return slim.mapInPandas(run, "file_id bigint, repo_id string, dir string, e0 double, e1 double, e2 double, e3 double, e4 double")
+    return spread(slim).mapInPandas(run, "file_id bigint, repo_id string, dir string, e0 double, e1 double, e2 double, e3 double, e4 double")
 
 
 def _up(cols: list[Column], ties=COMPATIBLE) -> list[Column]:

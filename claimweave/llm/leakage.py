@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.runtime import spread
+
 RUN = 6
 SHARE = 1 / 3
 #: Characters of passages in one block of the query set.
@@ -119,6 +121,6 @@ def leaks(docs: DataFrame, items: DataFrame, rid: str = "doc_id", text: str = "t
                 hits = [(d, i) for d, t in zip(batch["rid"], batch["text"]) for i in found.cases(words_of(t))]
                 yield pd.DataFrame(hits, columns=[rid, item]).astype("int64")
 
-        part = slim.mapInPandas(run, f"{rid} bigint, {item} bigint")
+        part = spread(slim).mapInPandas(run, f"{rid} bigint, {item} bigint")
         out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.runtime import lookup_join
+from claimweave.runtime import lookup_join, spread
 
 RUN = 10
 LIMIT = 0.30
@@ -91,7 +91,7 @@ def repetition(docs: DataFrame, rid: str = "doc_id", text: str = "text") -> Data
                 yield pd.DataFrame({rid: part["rid"].to_numpy(), "n_words": n, "n_repeated": hit, "share": hit / np.maximum(n, 1)})
 
     slim = docs.select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text"))
-    return slim.mapInPandas(run, f"{rid} bigint, n_words bigint, n_repeated bigint, share double")
+    return spread(slim).mapInPandas(run, f"{rid} bigint, n_words bigint, n_repeated bigint, share double")
 
 
 def repetitive(docs: DataFrame, rid: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
