@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.runtime import blank_to_null, heavy_keys, month_of
+from claimweave.runtime import blank_to_null, month_of
 
 #: End of rows that still live.
 FOREVER = "9999-12-31 00:00:00"
@@ -91,5 +91,3 @@ def orphan_report(edges: DataFrame, nodes: DataFrame, table_name: str = "edges",
     zero = lambda c: F.coalesce(F.col(f"l.{c}"), F.lit(0)).cast("bigint").alias(c)
     return out.select(F.lit(table_name).alias("table_name"), "r.side", "r.period", "r.n_refs", *[zero(c) for c in ("n_missing", "n_deleted", "n_late", "n_orphans")])
 
-
-__all__ = ["references", "histories", "orphans", "orphan_report", "heavy_keys"]

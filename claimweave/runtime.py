@@ -72,6 +72,14 @@ def materialize(df: DataFrame, keep: bool = True) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than there are cores (a few unsplittable files); else as it is.
+
+    For frames straight from a scan: the partitions are known from the plan, nothing runs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def drop_table(df: DataFrame | None) -> None:
     """Remove the files of a materialized frame that nothing will read again."""
     path = getattr(df, "_claimweave_path", None)
