@@ -304,4 +304,51 @@ def P12_planted_recall(spark: SparkSession, d: str) -> DataFrame:
     return planted_recall(c.join(p, "key").where("consumer <> provider"), planted)
 
 
+@query("""WITH o AS (SELECT p_partkey AS op_id, 'part' AS package, p_brand || p_size AS service FROM part), s AS (SELECT DISTINCT s_nationkey || ':' || p_brand || p_size AS call_id, lower(CASE WHEN p_size % 2 = 0 THEN 'part.' || p_brand || p_size ELSE p_brand || p_size END) AS name
+ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey), n AS (SELECT op_id, lower(package || '.' || service) AS name FROM o UNION SELECT op_id, lower(service) FROM o), h AS (SELECT DISTINCT call_id, op_id FROM s JOIN n USING (name)), c AS (SELECT call_id, count(*) AS n FROM h GROUP BY 1)
+ SELECT DISTINCT s.call_id, CASE WHEN n <= 4 THEN op_id END AS op_id, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 4 THEN 'fanout' ELSE 'matched' END AS outcome FROM s LEFT JOIN c ON c.call_id = s.call_id LEFT JOIN h ON h.call_id = s.call_id""")
+def E25_grpc(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as operations of a service per brand and size, stubs per nation by full or bare name."""
+    p = table(spark, d, "part", "p_partkey", "p_brand", "p_size").withColumn("service", F.concat("p_brand", F.col("p_size").cast("string")))
+    li, sup = table(spark, d, "lineitem", "l_partkey", "l_suppkey"), table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    used = li.join(p, li.l_partkey == p.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
+    stubs = used.select(F.concat_ws(":", F.col("s_nationkey").cast("string"), "service").alias("call_id"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("part."), "service")).otherwise(F.col("service")).alias("service")).distinct()
+    ops = p.select(F.col("p_partkey").alias("op_id"), F.lit("part").alias("package"), "service")
+    return resolvers.match_grpc(stubs, ops, 4)
+
+
+@query("""WITH r AS (SELECT DISTINCT o_orderkey AS rid, o_orderpriority AS m, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS t FROM orders), h AS (SELECT DISTINCT o_custkey AS target, o_orderpriority AS m, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS t FROM orders WHERE o_orderstatus = 'F'),
+ g AS (SELECT rid, count(DISTINCT target) AS n, min(target) AS sole FROM r JOIN h USING (m, t) GROUP BY rid)
+ SELECT r.rid, CASE WHEN n = 1 THEN sole END AS target, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome FROM r LEFT JOIN g USING (rid)""")
+def E34_exactly_one(spark: SparkSession, d: str) -> DataFrame:
+    """The rule of webhooks, bound operations and event schemas: a single distinct target at equal columns, else a decline."""
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus")
+    day = F.to_date("o_orderdate").cast("string")
+    left = o.select(F.col("o_orderkey").alias("rid"), F.col("o_orderpriority").alias("m"), day.alias("t"))
+    right = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("target"), F.col("o_orderpriority").alias("m"), day.alias("t"))
+    return resolvers.exactly_one(left, right, ["m", "t"], "rid", "target")
+
+
+@query("""WITH c AS (SELECT DISTINCT split_part(r, ':', 2) AS path FROM (SELECT unnest(regexp_extract_all(text, '(?:GET|POST|PUT|PATCH|DELETE):/[\\w/{}.-]+')) AS r FROM documents WHERE text IS NOT NULL)), t(prefix, target) AS (VALUES ('/v1', 'a'), ('/v2', 'b'), ('/v1/co', 'c'), ('/v2/co', 'd'), ('/v2/co', 'e')),
+ h AS (SELECT path, prefix, target, rank() OVER (PARTITION BY path ORDER BY length(prefix) DESC) AS k FROM c JOIN t ON starts_with(path, prefix)), g AS (SELECT path, count(DISTINCT target) AS n, min(target) AS sole, max(prefix) AS prefix FROM h WHERE k = 1 GROUP BY path)
+ SELECT c.path AS call_id, prefix, CASE WHEN n = 1 THEN sole END AS target, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome FROM c LEFT JOIN g ON g.path = c.path""")
+def E23_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Routes cited in documents against gateway prefixes: raw prefixes, the longest wins, two targets decline."""
+    r = table(spark, d, "documents", "text").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:GET|POST|PUT|PATCH|DELETE):/[\w/{}.-]+"), F.lit(0))).alias("r"))
+    calls = r.select(F.split_part("r", F.lit(":"), F.lit(2)).alias("path")).distinct().select(F.col("path").alias("call_id"), F.lit("docs").alias("repo_id"), "path")
+    routes = spark.createDataFrame([("/v1", "a", "gw"), ("/v2", "b", "gw"), ("/v1/co", "c", "gw"), ("/v2/co", "d", "gw"), ("/v2/co", "e", "gw")], "prefix string, target string, repo_id string")
+    return resolvers.longest_prefix(calls, routes)
+
+
+@query(f"""WITH {ENV}, v AS (SELECT DISTINCT repo_id, name, {HOST} AS host FROM env WHERE {HOST} <> '' AND trim(coalesce(name, '')) <> ''), r AS (SELECT DISTINCT repo_id || ':' || name AS read_id, repo_id, name FROM v),
+ h AS (SELECT DISTINCT r.read_id, v.host, v.repo_id = r.repo_id AS same FROM r JOIN v ON v.name = r.name), b AS (SELECT read_id, bool_or(same) AS anysame FROM h GROUP BY read_id),
+ g AS (SELECT h.read_id, count(DISTINCT host) AS n, min(host) AS sole FROM h JOIN b USING (read_id) WHERE same = anysame GROUP BY h.read_id)
+ SELECT read_id, CASE WHEN n = 1 THEN sole END AS host, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome FROM g""")
+def E29_env_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Variables read by each repository that configures them, resolved to one host, own values first."""
+    v = env(spark, d).select("repo_id", "name", F.regexp_extract("value", r"^https?://([^/:?#@]+)", 1).alias("host")).where("host <> '' and trim(name) <> ''").distinct()
+    reads = v.select(F.concat_ws(":", "repo_id", "name").alias("read_id"), "repo_id", "name").distinct()
+    return resolvers.env_calls(reads, v)
+
+
 QUERIES, SQL = query.queries, query.sql
