@@ -53,7 +53,6 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "claimweave-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
