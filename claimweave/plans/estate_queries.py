@@ -309,12 +309,23 @@ def P12_planted_recall(spark: SparkSession, d: str) -> DataFrame:
  SELECT DISTINCT s.call_id, CASE WHEN n <= 4 THEN op_id END AS op_id, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 4 THEN 'fanout' ELSE 'matched' END AS outcome FROM s LEFT JOIN c ON c.call_id = s.call_id LEFT JOIN h ON h.call_id = s.call_id""")
 def E25_grpc(spark: SparkSession, d: str) -> DataFrame:
     """Parts as operations of a service per brand and size, stubs per nation by full or bare name."""
+    return resolvers.match_grpc(*_grpc(spark, d), 4)
+
+
+@query(query.sql["E25_grpc"].replace("n <= 4 ", "n <= 32 ").replace("n > 4 ", "n > 32 "))
+def E25_grpc_cap32(spark: SparkSession, d: str) -> DataFrame:
+    """The same under the operator's own cap."""
+    return resolvers.match_grpc(*_grpc(spark, d))
+
+
+def _grpc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stubs and operations of E25."""
     p = table(spark, d, "part", "p_partkey", "p_brand", "p_size").withColumn("service", F.concat("p_brand", F.col("p_size").cast("string")))
     li, sup = table(spark, d, "lineitem", "l_partkey", "l_suppkey"), table(spark, d, "supplier", "s_suppkey", "s_nationkey")
     used = li.join(p, li.l_partkey == p.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     stubs = used.select(F.concat_ws(":", F.col("s_nationkey").cast("string"), "service").alias("call_id"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("part."), "service")).otherwise(F.col("service")).alias("service")).distinct()
     ops = p.select(F.col("p_partkey").alias("op_id"), F.lit("part").alias("package"), "service")
-    return resolvers.match_grpc(stubs, ops, 4)
+    return stubs, ops
 
 
 @query("""WITH r AS (SELECT DISTINCT o_orderkey AS rid, o_orderpriority AS m, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS t FROM orders), h AS (SELECT DISTINCT o_custkey AS target, o_orderpriority AS m, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS t FROM orders WHERE o_orderstatus = 'F'),

@@ -230,6 +230,13 @@ def D10_fanout_guard(spark: SparkSession, d: str) -> DataFrame:
     return graph.fanout_guard(e, "call", "contract", 4)
 
 
+@query(query.sql["D10_fanout_guard"].replace("n_contracts > 4 ", "n_contracts > 32 "))
+def D10_fanout_guard_cap32(spark: SparkSession, d: str) -> DataFrame:
+    """The same under the operator's own cap."""
+    e = graph.active(edges(spark, d)).select(F.col("source_id").alias("call"), F.col("target_id").alias("contract"))
+    return graph.fanout_guard(e, "call", "contract")
+
+
 @query("""WITH p AS (SELECT key, count(DISTINCT repo_id) AS n, min(repo_id) AS r FROM (SELECT DISTINCT lower(trim(name)) AS key, repo_id FROM docker_resources WHERE trim(coalesce(name, '')) <> '') GROUP BY key)
  SELECT key, CASE WHEN n = 1 THEN r END AS target, n AS n_targets, CASE WHEN n = 1 THEN 'matched' ELSE 'declined' END AS outcome FROM p""")
 def D11_ambiguity_guard(spark: SparkSession, d: str) -> DataFrame:
