@@ -124,10 +124,21 @@ def _npm_names(spark: SparkSession, d: str) -> DataFrame:
  WHEN language = 'Java' THEN regexp_extract(line, '^\\s*(?:public|protected|private)\\b[^=;(]* (\\w+)\\([^;]*\\{', 1) END AS symbol FROM l)
  SELECT language, count(*) AS n_symbols, count(DISTINCT symbol) AS n_names FROM s WHERE symbol <> '' GROUP BY language""")
 def B14_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Functions and methods declared per language, by pattern."""
+    """Functions and methods declared per language, by pattern, in files with a recorded language."""
     from claimweave.sources.extract import symbols
 
-    s = symbols(table(spark, d, "files", "file_id", "repo_id", "path", "language", "content").dropDuplicates(["file_id", "language", "content"]))
+    s = symbols(table(spark, d, "files", "file_id", "repo_id", "path", "name", "language", "content").where("language is not null").dropDuplicates(["file_id", "language", "content"]))
+    return s.groupBy("language").agg(F.count("*").alias("n_symbols"), F.count_distinct("symbol").alias("n_names"))
+
+
+@query(query.sql["B14_symbols"].replace("SELECT DISTINCT file_id, language, content", """SELECT DISTINCT file_id, coalesce(nullif(language, ''), CASE lower(regexp_extract(name, '\\.([^.]*)$', 1)) WHEN 'py' THEN 'Python' WHEN 'pyi' THEN 'Python' WHEN 'go' THEN 'Go' WHEN 'java' THEN 'Java'
+ WHEN 'js' THEN 'JavaScript' WHEN 'mjs' THEN 'JavaScript' WHEN 'cjs' THEN 'JavaScript' WHEN 'jsx' THEN 'JavaScript' WHEN 'ts' THEN 'TypeScript' WHEN 'tsx' THEN 'TypeScript' WHEN 'mts' THEN 'TypeScript' WHEN 'cts' THEN 'TypeScript' END) AS language, content"""))
+def B14_symbols_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same in all files; a language that is not recorded is the one that the name stands for."""
+    from claimweave.sources.extract import file_language, symbols
+
+    f = table(spark, d, "files", "file_id", "repo_id", "path", "name", "language", "content").withColumn("language", file_language())
+    s = symbols(f.dropDuplicates(["file_id", "language", "content"]))
     return s.groupBy("language").agg(F.count("*").alias("n_symbols"), F.count_distinct("symbol").alias("n_names"))
 
 

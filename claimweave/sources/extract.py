@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Languages with patterns by file extension, for files without a recorded language (fixed values).
+LANGUAGES = {
+    "py": "Python", "pyi": "Python", "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "mts": "TypeScript", "cts": "TypeScript",
+    "java": "Java", "kt": "Kotlin", "kts": "Kotlin", "go": "Go", "rb": "Ruby", "php": "PHP", "cs": "CSharp", "rs": "Rust", "yaml": "YAML", "yml": "YAML", "json": "JSON", "xml": "XML", "properties": "Properties",
+}
 #: How languages read the environment (fixed values).
 ENV_READ = r"""(?:process\.env\.|os\.environ\[['"]|os\.getenv\(['"]|System\.getenv\("|os\.Getenv\(")([A-Z][A-Z0-9_]*)"""
 #: Declarations of functions and methods per language (fixed values).
@@ -46,9 +51,15 @@ def properties(files: DataFrame) -> DataFrame:
     return rows.select("file_id", F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.expr("substring(line, instr(line, '=') + 1)")).alias("value"))
 
 
+def file_language() -> Column:
+    """The recorded language; where there is none, the one that the name stands for."""
+    by_name = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.nullif("language", F.lit("")), F.element_at(by_name, F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))))
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """Declared functions and methods with their line; the pattern is chosen by language before any matching."""
-    l = lines(files.where(F.col("language").isin(*SYMBOL)))
+    l = lines(files.withColumn("language", file_language()).where(F.col("language").isin(*SYMBOL)))
     found = F.lit("")
     for language, pattern in SYMBOL.items():
         found = F.when(F.col("language") == language, F.regexp_extract("line", pattern, 1)).otherwise(found)

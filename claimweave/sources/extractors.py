@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.sources.extract import LANGUAGES, file_language
+
 Hit = tuple[str, int, str, str, str]
 SCHEMA = "repo_id string, path string, slot string, line bigint, a string, b string, c string"
 JS = ("JavaScript", "TypeScript")
@@ -318,8 +320,14 @@ def register_parser(parser: Callable[[str], Iterator[Hit]], extensions: tuple[st
     REGISTERED.insert(0, (tuple(x.lower() for x in extensions), parser))
 
 
+def language_of(language: str | None, name: str | None) -> str | None:
+    """The language of a file; where none is recorded, the one that its name stands for."""
+    return language or (LANGUAGES.get(name.rsplit(".", 1)[-1].lower()) if name and "." in name else None)
+
+
 def extract_file(name: str, language: str | None, text: str) -> Iterator[Hit]:
     low = (name or "").lower()
+    language = language_of(language, name)
     ext = "." + low.rsplit(".", 1)[-1] if "." in low else ""
     for exts, parser in REGISTERED:
         if ext in exts:
@@ -361,7 +369,7 @@ def extract(files: DataFrame) -> DataFrame:
 def coverage(files: DataFrame, hits: DataFrame) -> DataFrame:
     """Per language: files, files with hits, hits, and the tier (full, lite or none) of its extractors."""
     full = ("Python", *JS, *JVM, "Go")
-    f = files.select("repo_id", "path", F.coalesce("language", F.lit("Unknown")).alias("language")).distinct()
+    f = files.select("repo_id", "path", F.coalesce(file_language(), F.lit("Unknown")).alias("language")).distinct()
     n = hits.where("slot <> 'error'").groupBy("repo_id", "path").agg(F.count("*").alias("n"))
     g = f.join(n, ["repo_id", "path"], "left").groupBy("language").agg(F.count("*").alias("n_files"), F.count("n").alias("n_with_hits"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"))
     return g.withColumn("tier", F.when(F.col("language").isin(*full), "full").when(F.col("language").isin("YAML", "JSON", "XML", "Properties", "Ruby", "PHP", "CSharp", "Rust"), "lite").otherwise("none"))

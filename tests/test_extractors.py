@@ -59,3 +59,14 @@ def test_call_graph(spark):
     sym = spark.createDataFrame([("r", "a", "f", 10, 20), ("r", "a", "inner", 11, 13), ("r", "b", "g", 1, 2), ("r", "c", "h", 1, 2), ("r", "d", "h", 9, 9), ("r", "b", "x", 1, 5)], "repo_id string, path string, name string, start int, end int")
     out = {r.site_id: (r.caller, r.callee_path, r.confidence) for r in E.call_graph(sites, sym).collect()}
     assert out[1] == ("inner", "b", 0.9) and out[2] == (None, "c", 0.7) and out[3][1:] == (None, None)
+
+
+def test_missing_language_comes_from_the_name(spark):
+    for name, language, text, want in CASES[:11]:
+        assert want in list(E.extract_file(name.upper(), None, text)) and want in list(E.extract_file(name, "", text))
+    assert list(E.extract_file("a.txt", None, "import os")) == [] and list(E.extract_file(None, None, "import os")) == []
+    rows = [(1, "r", "a.py", "a.py", None, "import os\n\ndef f(x):\n"), (2, "r", "B.GO", "B.GO", None, "func g() {"), (3, "r", "c.js", "c.js", "TypeScript", "function h() {"), (4, "r", "d", "d", None, "def i(x):"), (5, None, None, None, None, "def j(x):")]
+    f = spark.createDataFrame(rows, "file_id int, repo_id string, path string, name string, language string, content string")
+    assert sorted((r.file_id, r.language, r.symbol, r.pos) for r in X.symbols(f).collect()) == [(1, "Python", "f", 3), (2, "Go", "g", 1), (3, "TypeScript", "h", 1)]
+    cov = {r.language: (r.n_files, r.n_with_hits) for r in E.coverage(f, E.extract(f)).collect()}
+    assert cov["Python"] == (1, 1) and cov["Go"] == (1, 1) and cov["Unknown"] == (2, 0)
