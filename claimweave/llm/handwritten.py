@@ -1,6 +1,6 @@
 """Generated, minified, vendored and data files, by belief propagation over directory trees.
 
-Each file has evidence of its own (marks in its head, name, shape of its text) and each directory has some (its name);
+Each file has evidence of its own (marks in its comments, name, shape of its text) and each directory has some (its name);
 the labels of a directory and what lies in it are tied by compatibilities. On the tree of directories two passes (from
 the deepest level up, and down again) of max-product propagation give the exact max-marginals of all files, hence their
 most probable joint labels. Beliefs add up log messages, so a directory with a third of all files is summed by partial
@@ -8,7 +8,7 @@ aggregation and looked up by a broadcast of its one row.
 
 Defined cases
 * null or empty content leaves the evidence of path and name; null paths lie in the root directory of their repository;
-* a notice of the repository's own owner is no third-party notice; marks count only in comments in the head of a file;
+* a notice of the repository's own owner is no third-party notice; marks count only in comments, wherever they stand in a file;
 * repeated file rows count once in the result (they have equal evidence); ties go to handwritten.
 """
 
@@ -58,6 +58,7 @@ _LICENCE = re.compile(r"(?i)spdx-license-identifier|licensed under|see license\.
 _ORIGIN = re.compile(r"^\s*(?://|#|/\*!?|\*)\s*([\w.-]+) v?\d+\.\d+[\w.]*\s*(?:-\s*https?://|\*/|$)")
 _MACHINE = re.compile(r"\.uint32\(\d+\)\.|\bbitField\w*_|\) ProtoMessage\(\)|_serialized_(?:start|end)\b|\bserialized_pb=|\) Reset\(\) \{ \*x = |^export function decode\w+\(\w+(?:: any)?\) \{ return ", re.M)
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])")
+_LOCK = re.compile(r'"lockfileVersion"\s*:\s*\d')
 _WORD = re.compile(r"[A-Za-z_]\w*")
 _BYTES = re.compile(r"""(?m)^\s*[bBrR]?(['"])[A-Za-z0-9+/=]{48,}\1\s*[,+\\]?\s*$""")
 
@@ -69,10 +70,9 @@ def evidence(repo: str, path: str, name: str, text: str | None) -> tuple[float,
     base = (name or path.rsplit("/", 1)[-1]).lower()
     body = text or ""
     lines = body.split("\n")
-    head = [x.strip() for x in lines[:40] if x.strip()][:6]
-    comments = [x for x in head if _COMMENT.match(x)]
+    comments = [x.strip() for x in lines if _COMMENT.match(x)]
     made |= any(_MADE.search(x) for x in comments)
-    made |= base in LOCK_FILES or '"lockfileVersion"' in body[:400] or body.count("[[package]]") > 1 and "checksum" in body
+    made |= base in LOCK_FILES or body.lstrip("\ufeff \t\r\n").startswith("{") and _LOCK.search(body) is not None or body.count("[[package]]") > 1 and "checksum" in body
     made |= base.endswith(".map") or bool(re.match(r'\s*\{\s*"version"\s*:\s*\d+\s*,\s*"(?:file|sources|names|mappings)"', body)) and '"mappings"' in body
     used = max(1, sum(1 for x in lines if x.strip()))
     made |= sum(1 for _ in _MACHINE.finditer(body)) >= 0.15 * used

@@ -43,3 +43,16 @@ def test_messages_give_the_best_joint_labels(spark):
     want = {i: (max(range(5), key=lambda x: best[i, x]), round(max(best[i, x] for x in range(5)) - best[i, 0], 4)) for i in ev}
     got = {r.file_id: (H.LABELS.index(r.label), r.log_odds) for r in H.beliefs(files).collect()}
     assert got == want
+
+
+def test_marks_count_wherever_their_comment_stands():
+    licence = "/*\n" + " * Words of the licence of this repository, which say nothing about origin.\n" * 14 + " */\n"
+    code = "".join(f"x{i} = {i}\n" for i in range(60))
+    lock = '{\n' + "".join(f'  "k{i}": "some text that fills the head",\n' for i in range(40)) + '  "lockfileVersion": 3\n}\n'
+    label = lambda path, text: max(range(5), key=H.evidence("o_r", path, path, text).__getitem__)
+    assert label("a.go", licence + "// Code generated by gen v1. DO NOT EDIT.\n\npackage a\n") == 1
+    assert label("a.py", code + "# Code generated by gen v1. DO NOT EDIT.\n") == 1
+    assert label("a.py", '#!/usr/bin/env python\n"""Long.\n' + "words\n" * 50 + '"""\n# Copyright (c) 2020 The Others. All rights reserved.\n') == 3
+    assert label("deps.json", lock) == 1
+    assert label("a.py", code + "HEADER = '# Code generated by x. DO NOT EDIT.'\n") == 0
+    assert label("a.py", code + "KEY = '\"lockfileVersion\": 3'\n") == 0
