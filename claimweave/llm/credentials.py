@@ -33,8 +33,6 @@ from claimweave.runtime import spread
 VOCABULARY = "byte_bpe_50k.json"
 #: Letters of a literal that no dictionary word explains, from which it counts as random.
 RESIDUAL = 8
-#: Longer unbroken literals without a name that announces a credential are data, not secrets.
-LONGEST = 130
 MASK = "[REDACTED]"
 
 #: Last words of names that announce a credential, and of names that announce a hash, an id or public matter (fixed values).
@@ -49,6 +47,10 @@ _BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _HASH_LEAD = re.compile(r"(?i)(?:sha(?:1|224|256|384|512)|md5)[-:=]\Z")
+#: What stands in front of the data of a URI, what encoded certificates and public keys begin with, and rows of literals behind one.
+_DATA_LEAD = re.compile(r"(?i)\bdata:[\w.+/;=-]*,\Z|;base64,\Z")
+_PUBLIC_LEAD = re.compile(r"LS0tLS1CRUdJTi(?:BDRVJU|BQVUJM)")
+_ROWS = re.compile(r"""[^\n]{0,4}(?:\r?\n[ \t]*[bBrR]?(["'])[A-Za-z0-9+/=_-]{40,}\1[ \t]*[,+\\)]?[ \t]*(?=\r?\n|\Z)){3}""")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VARIABLE = re.compile(r"\$\{|\$\(|\$[A-Za-z_]|\{\{|%[A-Za-z_]+%|<[^>]*>|\A%\w|\A\*+\Z|\A[xX*.#_-]+\Z|\A@")
 _PLACEHOLDER = re.compile(r"(?i)(?:change[_ -]?(?:me|it|this)|replace[_ -]?(?:me|this)?|todo|tbd|fixme|not[_ -]?set|unset|none|null|nil|true|false|example|dummy|placeholder|\[?redacted\]?|masked|your[_ -].*|insert[_ -].*|x{3,}|\*{3,}|password|passwd|user_password|secret|token|undefined|empty|optional|required|default|env|vault.*|file.*)\Z")
@@ -149,7 +151,7 @@ class Finder:
     def random(self, literal: str) -> bool:
         """A long unexplained residual outside the known hash formats."""
         bare = literal.rstrip("=")
-        if len(bare) > LONGEST or _HEX.match(bare) or _UUID.match(bare):
+        if _HEX.match(bare) or _UUID.match(bare):
             return False
         flips = sum(a.islower() and b.isupper() for a, b in zip(bare, bare[1:]))
         if not any(c.isdigit() for c in bare) and flips < 3:
@@ -200,6 +202,8 @@ class Finder:
                 continue
             start = m.start()
             lead = text[max(0, start - 120) : start]
+            if _DATA_LEAD.search(lead) or _PUBLIC_LEAD.match(t) or _ROWS.match(text, m.end()):
+                continue
             if _HASH_LEAD.search(lead) or re.match(r"(?i)sha(?:1|224|256|384|512)-|md5-", t):
                 continue
             if not whole and not self.assigned(text, start):

@@ -78,3 +78,20 @@ def test_frames(spark, vocabulary):
     back = {r.file_id: (r.content, r.n_masked) for r in C.redacted_texts(files, "file_id", "content").collect()}
     assert back == {7: (f"a\nPASSWD={C.MASK}\n", 1), 8: (None, 0)}
     assert C.credentials(k8s.limit(0), docker.limit(0), files.limit(0), docs.limit(0)).count() == 0
+
+
+def test_length_is_no_reason(finder):
+    import random
+
+    r = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    blob = lambda n: "".join(r.choices(chars, k=n))
+    key = "sk-proj-" + blob(156)
+    for line in (f"OPENAI={key}", f'auth: "{blob(400)}"', f"a: Bearer {blob(900)}"):
+        spans = finder.text(line)
+        assert len(spans) == 1 and C.redact(line, spans).endswith((C.MASK, C.MASK + '"')) and not finder.text(C.redact(line, spans))
+    assert finder.value("OPENAI", key) == [(0, len(key))] and finder.value("TOPIC", blob(200), True)
+    rows = "\n".join(f"    b'{blob(76)}'" for _ in range(6))
+    for line in (f"serialized_pb = b'{blob(300)}'", f'"mappings": "{blob(300)}"', f"icon: data:image/png;base64,{blob(300)}", f"blob = b'{blob(200)}'\n{rows}\n", f"CA_BUNDLE=LS0tLS1CRUdJTiBDRVJU{blob(300)}"):
+        assert finder.text(line) == []
+    assert finder.value("ICON", f"data:image/png;base64,{blob(300)}") == [] and finder.value("CA_BUNDLE", f"LS0tLS1CRUdJTiBDRVJU{blob(300)}") == []
