@@ -84,12 +84,12 @@ def verdicts(files: DataFrame, explain: bool = False) -> DataFrame:
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
-    return verdicts(files).where("invalid = 1").select("file_id").distinct()
+    return verdicts(files, True).where("invalid = 1").select("file_id").distinct()
 
 
 def rates(files: DataFrame, scans: DataFrame) -> DataFrame:
     """Per repository and language: repo_id, lang, n_files, n_invalid, rate, and the last scan's parse_failures."""
-    once = verdicts(files).groupBy("repo_id", "lang", "file_id").agg(F.max("invalid").alias("invalid"))
+    once = verdicts(files, True).groupBy("repo_id", "lang", "file_id").agg(F.max("invalid").alias("invalid"))
     per = once.groupBy("repo_id", "lang").agg(F.count("*").alias("n_files"), F.sum("invalid").alias("n_invalid"))
     last = scans.groupBy("repo_id").agg(F.max_by("parse_failures", F.struct("scanned_at", "delivered_at", "scan_id")).cast("bigint").alias("reported_failures"))
     total = per.groupBy("repo_id").agg(F.sum("n_invalid").alias("repo_invalid"))

@@ -94,3 +94,10 @@ def test_frames(spark):
     out = {(r.repo_id, r.lang): (r.n_files, r.n_invalid, r.reported_failures) for r in syntax.rates(f, scans).collect()}
     assert out[("r", "Python")] == (1, 1, 3) and out[("r", "JSON")] == (1, 0, 3)
     assert syntax.invalid_files(f.limit(0)).count() == 0
+
+
+def test_found_and_rates_run_the_foreign_grammars(spark):
+    f = spark.createDataFrame([(1, "r", "Go", "a.go", "def f(:")], "file_id bigint, repo_id string, language string, name string, content string")
+    scans = spark.createDataFrame([], "scan_id string, repo_id string, parse_failures int, scanned_at timestamp, delivered_at timestamp")
+    for df in (syntax.invalid_files(f), syntax.rates(f, scans)):
+        assert "parses_as" in df._jdf.queryExecution().toString()
