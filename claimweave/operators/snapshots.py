@@ -1,7 +1,9 @@
 """What changed between consecutive full snapshots.
 
-Method: rows that are identical in a snapshot and the one before it are removed (EXCEPT ALL in both directions, evaluated
-as one signed count over both, so that every row is shuffled once); the residues are full-joined by key and labelled.
+Method: EXCEPT ALL of each snapshot and the one before it, both ways, removes identical rows; the two residues are
+full-joined by key and labelled. A row listed twice in a snapshot counts once, so both differences are differences of sets,
+and one pass gives both: per full row, whether it is in the later and in the earlier snapshot. That shuffles every row
+once for either side, where two separate EXCEPT ALL would shuffle everything twice.
 
 Defined cases
 * a delivery without version (null or blank) or with null rows is no snapshot; an empty list is one;
@@ -10,8 +12,8 @@ Defined cases
 * a row listed twice in a snapshot counts once; null elements are dropped; null keys compare as equal;
 * a key listed with different values in one snapshot counts as one row per value;
 * numbers are compared after rounding to 4 decimals; null differs from every number.
-The list of snapshots (ids and order, no rows) is sorted per group; the rows themselves are spread over all their columns,
-so a group with a third of all rows stays spread.
+The list of snapshots (ids and order, no rows) is sorted per group, written, and broadcast where its counted rows are few;
+the rows themselves are spread over all their columns, so a group with a third of all rows stays spread.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.runtime import materialize, small
+
 KEY = ("source_id", "type", "target_id")
 
 
@@ -32,12 +36,12 @@ def snapshot_series(artifacts: DataFrame) -> DataFrame:
 
 
 def snapshot_rows(artifacts: DataFrame, series: DataFrame) -> DataFrame:
-    """Distinct rows of every snapshot: repo_id, head_sha, next_sha, seq, source_id, type, target_id, status, confidence."""
+    """Rows of every snapshot, repeats included: repo_id, head_sha, next_sha, seq, source_id, type, target_id, status, confidence."""
     fields = (*KEY, "status", "confidence")
-    slim = artifacts.select("artifact_id", F.arrays_zip(*[F.col(f"edges.{c}").alias(c) for c in fields]).alias("rows"))
-    named = F.filter("rows", lambda e: F.coalesce(*[e[c] for c in KEY]).isNotNull())
-    rows = F.array_distinct(F.transform(named, lambda e: F.struct(*[e[c].alias(c) for c in fields[:-1]], F.round(e["confidence"], 4).alias("confidence"))))
-    return slim.select("artifact_id", rows.alias("rows")).join(series, "artifact_id").select("repo_id", "head_sha", "next_sha", "seq", F.inline("rows"))
+    kept = artifacts.select("artifact_id", *[F.col(f"edges.{c}").alias(c) for c in fields])
+    kept = kept.join(small(materialize(series)), "artifact_id").where("source_id is not null")
+    rows = kept.select("repo_id", "head_sha", "next_sha", "seq", F.inline(F.arrays_zip(*fields)))
+    return rows.where(F.coalesce(*KEY).isNotNull()).withColumn("confidence", F.round("confidence", 4))
 
 
 def snapshot_changes(artifacts: DataFrame) -> DataFrame:
@@ -46,16 +50,21 @@ def snapshot_changes(artifacts: DataFrame) -> DataFrame:
     # Each row stands for its own snapshot and, one step on, for the snapshot before; the first one has none before it.
     own = F.when(F.col("seq") > 1, F.col("head_sha"))
     sides = F.array(F.struct(own.alias("at_sha"), F.lit(True).alias("now")), F.struct(F.col("next_sha").alias("at_sha"), F.lit(False).alias("now")))
-    signed = rows.select("repo_id", *KEY, "status", "confidence", F.inline(sides)).where("at_sha is not null")
-    residue = (
-        signed.groupBy("repo_id", "at_sha", *KEY, "status", "confidence")
-        .agg(F.max("now").alias("has_now"), F.min("now").alias("all_now"))
-        .where("has_now = all_now")
-        .select("repo_id", "at_sha", *KEY, F.col("has_now").alias("now"))
-    )
-    labelled = residue.groupBy("repo_id", "at_sha", *KEY).agg(F.max("now").alias("new"), F.min("now").alias("only_new"))
-    kind = F.when(F.col("only_new"), "added").when(~F.col("new"), "removed").otherwise("changed")
-    return labelled.select("repo_id", F.col("at_sha").alias("head_sha"), "source_id", F.col("type").alias("edge_type"), "target_id", kind.alias("change_kind"))
+    sided = rows.select("repo_id", *KEY, "status", "confidence", F.inline(sides)).where("at_sha is not null")
+    found = sided.groupBy("repo_id", "at_sha", *KEY, "status", "confidence").agg(F.bool_or("now").alias("later"), F.bool_or(~F.col("now")).alias("earlier"))
+    residue = materialize(found.where("later <> earlier").select("repo_id", "at_sha", *KEY, "later"))
+    key = ["repo_id", "at_sha", *KEY]
+    # Residues once per key; null keys meet as equal.
+    side = lambda flag, name: residue.where(F.col("later") == flag).groupBy(*key).agg(F.lit(True).alias(name))
+    new, old = side(True, "in_new"), side(False, "in_old")
+    old = old.select(*[F.col(c).alias(f"o_{c}") for c in key], "in_old")
+    match = F.lit(True)
+    for c in key:
+        match = match & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+    both = new.join(old, match, "full")
+    kind = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").otherwise("changed")
+    of = lambda c, name: F.when(F.col("in_new"), F.col(c)).otherwise(F.col(f"o_{c}")).alias(name)
+    return both.select(of("repo_id", "repo_id"), of("at_sha", "head_sha"), of("source_id", "source_id"), of("type", "edge_type"), of("target_id", "target_id"), kind.alias("change_kind"))
 
 
 def change_counts(artifacts: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy when it holds at least this share of the rows, so there are at most 1 / HEAVY_SHARE heavy keys.
@@ -31,16 +33,22 @@ def session(app: str = "claimweave", master: str | None = None, **conf: str) ->
     }
     for key, value in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the application, once; needed where it is not installed on executors."""
+    """Send this package to the Python workers of the application, once; needed where it is not installed on executors.
+
+    session() and every operator with a Python stage call it, so plain sessions work as well."""
     context = spark.sparkContext
     if getattr(context, "_claimweave_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="claimweave-"), "claimweave.zip")
+    folder = tempfile.mkdtemp(prefix="claimweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "claimweave.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, os.path.join("claimweave", str(p.relative_to(root))))
@@ -49,32 +57,55 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
+    """The shared folder for written intermediates: spark.checkpoint.dir. Where it is unset, a folder of this machine on a
+    local master (tests), and an error on a cluster, whose executors could not read each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "claimweave-scratch")
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, keep: bool = True) -> DataFrame:
+def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The files go when the application ends; with keep=False drop_table() may remove them earlier.
+    The number of rows and further `metrics` (aggregates) are taken while writing; noted() and noted(out, name) give them.
+    The files go when the application ends; drop_table() may remove them earlier.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/claimweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
     out._claimweave_path = path
+    out._claimweave_noted = seen.get
     return out
 
 
+def noted(df: DataFrame, metric: str = "rows") -> int:
+    """A number taken while `df` was written by materialize(); null sums of empty tables are 0."""
+    return int(df._claimweave_noted[metric] or 0)
+
+
+#: Rows of ids and small columns up to which a written side may be broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialized side, marked for broadcast only where its counted rows stay below SMALL_ROWS; else joined by shuffle."""
+    return F.broadcast(df) if noted(df) <= SMALL_ROWS else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the input has fewer partitions than there are cores (a few unsplittable files); else as it is.
 
-    For frames straight from a scan: the partitions are known from the plan, nothing runs."""
+    For frames straight from a scan: the partitions are known from the plan, nothing runs. The Python stage that follows
+    gets the package."""
+    ship_package(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
