@@ -35,12 +35,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy.Hierarchy(hierarchy.containment(table(spark, d, "edges", "source_id", "target_id", "type", "status")))
-    return h.paths().select("node_id", "path")
+    return h.paths()
 
 
 def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy.Hierarchy(hierarchy.containment(table(spark, d, "edges", "source_id", "target_id", "type", "status")))
-    return h.paths().select("node_id", "tree_id", "first", "last")
+    return h.intervals()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -119,19 +119,24 @@ def drop_table(df: DataFrame | None) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def heavy_bound(total: int, share: float = HEAVY_SHARE, least: int = HEAVY_LEAST) -> int:
+    """Rows from which a key is heavy."""
+    return max(least, int(total * share))
+
+
 def heavy_keys(rows: DataFrame, key: str, total: int, share: float = HEAVY_SHARE, least: int = HEAVY_LEAST) -> DataFrame:
     """Keys that hold at least max(least, share * total) rows: one column `key`, at most 1/share rows."""
-    bound = max(least, int(total * share))
-    return rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= bound).select(key)
+    return rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= heavy_bound(total, share, least)).select(key)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "left", share: float = HEAVY_SHARE, least: int = HEAVY_LEAST) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "left", share: float = HEAVY_SHARE, least: int = HEAVY_LEAST, heavy: DataFrame | None = None) -> DataFrame:
     """Join `left` to `right`, which has one row per key, without sending a heavy key to one task.
 
     Heavy keys of `left` are found by a pre-aggregated count. There are at most 1/share of them, so their rows of
-    `right` are broadcast; the rest is joined by shuffle. Both parts are united. Null keys match nothing.
+    `right` are broadcast; the rest is joined by shuffle. Both parts are united. Null keys match nothing. `heavy`: the
+    heavy keys (column `key`) where they are known already.
     """
-    heavy = heavy_keys(left, key, total, share, least)
+    heavy = heavy_keys(left, key, total, share, least) if heavy is None else heavy
     few = right.join(F.broadcast(heavy), key, "left_semi")
     flagged = left.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
     hot = flagged.where("_heavy").drop("_heavy").join(F.broadcast(few), key, how)

@@ -11,31 +11,31 @@ def frame(spark, links, extra=()):
 
 
 def brute(links):
-    par = {}
+    nodes = {x for l in links for x in l}
+    par, ups, kids = {}, {}, {}
     for p, c in links:
         par[c] = min(par.get(c, p), p)
-    nodes = set(par) | set(par.values())
-    kids = {}
-    for c, p in par.items():
+        ups.setdefault(c, set()).add(p)
         kids.setdefault(p, set()).add(c)
-    out = set()
-    for x in nodes:
-        seen, todo = {x}, [x]
+
+    def closure(x, steps):
+        seen, todo = set(), [x]
         while todo:
-            for k in kids.get(todo.pop(), ()):
+            for k in steps.get(todo.pop(), ()):
                 if k not in seen:
                     seen.add(k)
                     todo.append(k)
-        y, d, way = x, 0, set()
-        while y in par and y not in way:
-            way.add(y)
+        return seen
+
+    down = {x: closure(x, kids) for x in nodes}
+    on = {x for x in nodes if x in down[x]}
+    out = set()
+    for x in nodes:
+        lost = bool(({x} | closure(x, ups)) & on)
+        y, d = x, 0
+        while not lost and y in par:
             y, d = par[y], d + 1
-        lost = y in par
-        z, loop = par.get(x), set()
-        while z is not None and z != x and z not in loop:
-            loop.add(z)
-            z = par.get(z)
-        out.add((x, "" if lost else y, -1 if lost else d, len(seen) - 1, int(z == x and x in par)))
+        out.add((x, "" if lost else y, -1 if lost else d, len(down[x] - {x}), int(x in on)))
     return out
 
 
@@ -63,15 +63,29 @@ def test_dirty_ends_and_types(spark):
 def test_empty_and_second_parent(spark):
     assert run(spark, []) == set()
     links = [("p2", "x"), ("p1", "x"), ("x", "y")]
-    assert run(spark, links) == {("p1", "p1", 0, 2, 0), ("x", "p1", 1, 1, 0), ("y", "p1", 2, 0, 0)}
+    assert run(spark, links) == {("p1", "p1", 0, 2, 0), ("p2", "p2", 0, 2, 0), ("x", "p1", 1, 1, 0), ("y", "p1", 2, 0, 0)} == brute(links)
+
+
+def test_several_parents_against_closure(spark):
+    """Diamonds, further parents above each other, loops over further parents, leaves with a lost parent."""
+    random.seed(5)
+    tree = [(f"t{random.randrange(max(0, i - 6), i)}", f"t{i}") for i in range(1, 50)]
+    further = [("t3", "t40"), ("t40", "t47"), ("other", "t20"), ("t2", "t49"), ("u1", "t48")]
+    diamond = [("d0", "d1"), ("d0", "d2"), ("d1", "d3"), ("d2", "d3"), ("d3", "d4"), ("d4", "leaf"), ("d1", "leaf")]
+    loops = [("q1", "q2"), ("q2", "q3"), ("q3", "q1"), ("a0", "q1"), ("q3", "d2"), ("q2", "qleaf"), ("a1", "qleaf"), ("r1", "r2"), ("r2", "r1"), ("r2", "x9"), ("s0", "x9"), ("x9", "x10"), ("a1", "a2")]
+    links = tree + further + diamond + loops
+    assert run(spark, links) == brute(links)
+    assert run(spark, tree + further) == brute(tree + further)
 
 
 def test_paths_and_intervals(spark):
     random.seed(11)
     links = [(f"c{i}", f"c{i + 1}") for i in range(25)] + [("hub", f"s{i}") for i in range(30)] + [("s1", f"s1x{i}") for i in range(9)] + [("c9", "hub"), ("l1", "l2"), ("l2", "l1"), ("l2", "below"), ("below", "deep")] + [(f"t{random.randrange(i)}", f"t{i}") for i in range(1, 40)]
     par = {c: p for p, c in links}
-    rows = Hierarchy(containment(frame(spark, links))).paths().collect()
-    assert len(rows) == len(set(par) | set(par.values())) == len({r.node_id for r in rows})
+    h = Hierarchy(containment(frame(spark, links)))
+    path = {r.node_id: r.path for r in h.paths().collect()}
+    rows = h.intervals().collect()
+    assert len(rows) == len(path) == len(set(par) | set(par.values())) == len({r.node_id for r in rows})
     lost = {"l1", "l2", "below", "deep"}
     spot = {(r.tree_id, r.first): r.node_id for r in rows}
     assert len(spot) == len(rows)
@@ -80,7 +94,7 @@ def test_paths_and_intervals(spark):
         while r.node_id not in lost and x in par:
             x = par[x]
             way.insert(0, x)
-        assert r.path == ("" if r.node_id in lost else " > ".join(way))
+        assert path[r.node_id] == ("" if r.node_id in lost else " > ".join(way))
         below, todo = set(), [r.node_id]
         while todo:
             y = todo.pop()
