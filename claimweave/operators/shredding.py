@@ -2,13 +2,13 @@
 
 Every object, list element and scalar of a record becomes one row (rec_id, node, parent, label, ordinal, kind, scalar).
 Object nodes are then joined with their scalar children, pivoted to one row per object, and related to each other by
-(rec_id, parent). JSON of unknown depth is shredded by one pass of an Arrow function; typed arrays of structs are shredded
-by JVM expressions.
+(rec_id, parent). JSON of any depth is shredded by one pass of an Arrow function, without recursion; typed columns of any
+nesting (structs, arrays, maps) are shredded by JVM expressions that follow the schema.
 
 Defined cases
 * exact second deliveries of a record count once;
 * null, empty or unreadable payloads give no rows; null lists and null elements give no rows, but elements keep
-  their position; of a key that an object holds twice the last one counts;
+  their position; of a key that an object holds twice the last one counts; nesting has no limit;
 * a name that is null or blank gives no child row; a parent without a name keeps its children with a null parent;
 * an empty table gives an empty result; columns that are not named here are ignored.
 """
@@ -16,26 +16,108 @@ Defined cases
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from claimweave.runtime import blank_to_null, materialize
+from claimweave.runtime import blank_to_null, materialize, ship_package
 
 ADJACENCY = "rec_id bigint, node bigint, parent bigint, label string, ordinal bigint, kind string, scalar string"
 
 
 def once(df: DataFrame, rid: str) -> DataFrame:
     """Rows without their exact repeats; maps and nested lists are compared by value."""
-    return df.withColumn("_same", F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))).dropDuplicates([rid, "_same"]).drop("_same")
+    return df.withColumn("_same", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)).dropDuplicates([rid, "_same"]).drop("_same")
+
+
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"(?:(null)|(true)|(false)|(NaN|-?Infinity)|(-?(?:0|[1-9]\d*))(\.\d+)?([eE][+-]?\d+)?)")
+
+
+def read_json(text: str):
+    """The value that json.loads gives, for any depth of nesting; ValueError where the text is no JSON."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _read_deep(text)
+
+
+def _read_deep(text: str):
+    """json.loads without recursion: open containers are on a list."""
+    skip = lambda i: _BLANKS.match(text, i).end()
+    end = len(text)
+    open_: list = []  # containers, innermost last
+    keys: list = []  # key that waits for its value, per open object; None per open array
+    i = skip(0)
+    while True:
+        # A value begins at i.
+        c = text[i : i + 1]
+        if c and c in "{[":
+            value = {} if c == "{" else []
+            i = skip(i + 1)
+            if text[i : i + 1] == ("}" if c == "{" else "]"):
+                i += 1
+            else:
+                open_.append(value)
+                keys.append(None)
+                if c == "{":
+                    keys[-1], i = _key(text, i, skip)
+                continue
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        else:
+            m = _SCALAR.match(text, i)
+            if not m:
+                raise ValueError(f"no value at {i}")
+            i = m.end()
+            null, true, false, odd, whole, part, power = m.groups()
+            value = None if null else True if true else False if false else float(odd.replace("Infinity", "inf")) if odd else float(m.group()) if part or power else int(whole)
+        # The value is complete; so may be the containers around it.
+        while True:
+            i = skip(i)
+            if not open_:
+                if i != end:
+                    raise ValueError(f"text behind the value at {i}")
+                return value
+            box = open_[-1]
+            if isinstance(box, dict):
+                box[keys[-1]] = value
+            else:
+                box.append(value)
+            c = text[i : i + 1]
+            if c == ",":
+                i = skip(i + 1)
+                if isinstance(box, dict):
+                    keys[-1], i = _key(text, i, skip)
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError(f"no end at {i}")
+            value = open_.pop()
+            keys.pop()
+            i += 1
+
+
+def _key(text: str, i: int, skip: Callable[[int], int]) -> tuple[str, int]:
+    """The key of an object at i, and where its value begins."""
+    if text[i : i + 1] != '"':
+        raise ValueError(f"no key at {i}")
+    key, i = scanstring(text, i + 1, True)
+    i = skip(i)
+    if text[i : i + 1] != ":":
+        raise ValueError(f"no colon at {i}")
+    return key, skip(i + 1)
 
 
 def _rows(rec: int, payload: str, out: list[tuple]) -> None:
     try:
-        root = json.loads(payload)
-    except (ValueError, RecursionError):
+        root = read_json(payload)
+    except ValueError:
         return
     n = 0
     stack = [(root, -1, None, 0)]
@@ -69,6 +151,7 @@ def _shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def shred_json(df: DataFrame, rid: str, payload: str) -> DataFrame:
     """Adjacency rows of JSON text; the root has parent -1."""
+    ship_package(df.sparkSession)
     return df.select(F.col(rid).cast("bigint").alias("rec_id"), F.col(payload).alias("payload")).where("rec_id is not null and payload is not null").mapInPandas(_shred, ADJACENCY)
 
 
@@ -100,40 +183,82 @@ def catalog_apis(adj: DataFrame) -> DataFrame:
     return api.select(F.lit("api").alias("child"), "rec_id", F.col("entity_name").alias("parent"), "pos", bare_ref(full).alias("child_name")).where("child_name is not null")
 
 
-def shred_workloads(df: DataFrame) -> DataFrame:
-    """Adjacency rows of the containers, their env and the ingress rules of workload records; nodes are paths as text."""
+T_ROWS = "array<struct<node:string,parent:string,label:string,ordinal:bigint,kind:string,scalar:string>>"
 
-    def row(node: Column, parent: Column, label: str, ordinal: Column, kind: str, scalar: Column) -> Column:
-        return F.struct(node.alias("node"), parent.alias("parent"), F.lit(label).alias("label"), ordinal.cast("bigint").alias("ordinal"), F.lit(kind).alias("kind"), scalar.alias("scalar"))
 
-    nothing = F.lit(None).cast("string")
-    root = F.lit("")
+def shred_typed(df: DataFrame, rid: str, *columns: str, labels: frozenset[str] | None = None) -> DataFrame:
+    """Adjacency rows of typed columns, by their schema: rec_id, node, parent, label, ordinal, kind, scalar.
 
-    def env(e: Column, j: Column, c: Column) -> Column:
-        n = F.concat(c, F.lit("/env/"), j.cast("string"))
-        return F.when(e.isNull(), F.array().cast(T_ROWS)).otherwise(F.array(row(n, c, "env", j, "object", nothing), row(nothing, n, "name", F.lit(0), "string", e)))
+    Nodes are paths as text, the record itself is ''. Elements of a list and entries of a map are children of the node that
+    holds them, with the name of the list (the key of the entry) as label and their position; null values give no row.
+    `labels`: only these names and what leads to them."""
+    none = F.array().cast(T_ROWS)
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
 
-    def container(c: Column, i: Column) -> Column:
-        n = F.concat(F.lit("containers/"), i.cast("string"))
-        own = F.array(row(n, root, "containers", i, "object", nothing), row(nothing, n, "name", F.lit(0), "string", c["name"]))
-        below = F.flatten(F.transform(F.coalesce(c["env"], F.array().cast("array<struct<name:string,here:boolean>>")), lambda e, j: env(F.when(e["here"], e["name"]), j, n)))
-        return F.when(c["here"], F.concat(own, below)).otherwise(F.array().cast(T_ROWS))
+    def row(node, parent, label, ordinal, kind: str, scalar=None) -> Column:
+        fields = (("node", node), ("parent", parent), ("label", text(label)))
+        return F.struct(*[(F.lit(None).cast("string") if c is None else c).alias(k) for k, c in fields], ordinal.cast("bigint").alias("ordinal"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if scalar is None else scalar).alias("scalar"))
 
-    def rule(g: Column, i: Column) -> Column:
-        n = F.concat(F.lit("ingress_rules/"), i.cast("string"))
-        rows = F.array(row(n, root, "ingress_rules", i, "object", nothing), row(nothing, n, "host", F.lit(0), "string", g["host"]), row(nothing, n, "backend_service", F.lit(0), "string", g["backend_service"]))
-        return F.when(g.isNull(), F.array().cast(T_ROWS)).otherwise(rows)
+    def wanted(name: str, kind: T.DataType) -> bool:
+        if labels is None or name in labels:
+            return True
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+        return isinstance(inner, T.StructType) and any(wanted(f.name, f.dataType) for f in inner)
 
-    slim = F.transform("containers", lambda c: F.struct(c.isNotNull().alias("here"), c["name"].alias("name"), F.transform(c["env"], lambda e: F.struct(e["name"].alias("name"), e.isNotNull().alias("here"))).alias("env")))
-    df = df.withColumn("_c", slim)
-    all_rows = F.concat(
-        F.coalesce(F.flatten(F.transform("_c", container)), F.array().cast(T_ROWS)),
-        F.coalesce(F.flatten(F.transform("ingress_rules", rule)), F.array().cast(T_ROWS)),
-    )
-    return df.select(F.col("resource_id").cast("bigint").alias("rec_id"), F.inline(all_rows))
+    def value(c: Column, kind: T.DataType, parent: Column, label, ordinal: Column) -> Column:
+        at = F.concat(parent, F.lit("/"), text(label), F.lit("/"), ordinal.cast("string"))
+        if isinstance(kind, T.StructType):
+            below = [value(c[f.name], f.dataType, at, f.name, F.lit(0)) for f in kind if wanted(f.name, f.dataType)]
+            return F.when(c.isNotNull(), F.concat(F.array(row(at, parent, label, ordinal, "object")), *below)).otherwise(none)
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.flatten(F.transform(c, lambda e, i: value(e, kind.elementType, parent, label, i))), none)
+        if isinstance(kind, T.MapType):
+            entries = F.transform(F.map_entries(c), lambda e, i: value(e["value"], kind.valueType, at, e["key"].cast("string"), i))
+            return F.when(c.isNotNull(), F.concat(F.array(row(at, parent, label, ordinal, "object")), F.coalesce(F.flatten(entries), none))).otherwise(none)
+        sort = "string" if isinstance(kind, T.StringType) else "boolean" if isinstance(kind, T.BooleanType) else "number"
+        return F.when(c.isNotNull(), F.array(row(None, parent, label, ordinal, sort, c.cast("string")))).otherwise(none)
 
+    parts = [value(F.col(c), df.schema[c].dataType, F.lit(""), c, F.lit(0)) for c in columns]
+    return df.select(F.col(rid).cast("bigint").alias("rec_id"), F.inline(reduce(F.concat, parts)))
+
+
+WORKLOAD_COLUMNS = ("labels", "containers", "ingress_rules")
+
+
+def shred_workloads(df: DataFrame, labels: frozenset[str] | None = None) -> DataFrame:
+    """Adjacency rows of everything that is nested in workload records."""
+    return shred_typed(df, "resource_id", *[c for c in WORKLOAD_COLUMNS if c in df.columns], labels=labels)
 
-T_ROWS = "array<struct<node:string,parent:string,label:string,ordinal:bigint,kind:string,scalar:string>>"
+
+def _objects(adj: DataFrame, label: str, *fields: str) -> DataFrame:
+    """Objects under a label with their scalar fields: rec_id, node, parent, pos, one column per field."""
+    own = adj.where((F.col("label") == label) & (F.col("kind") == "object")).select("rec_id", "node", "parent", F.col("ordinal").alias("pos"))
+    return own.join(pivot_scalars(adj, *fields), ["rec_id", "node"], "left")
+
+
+def container_table(adj: DataFrame) -> DataFrame:
+    """Containers of workloads: rec_id, node, pos, name, image, is_init."""
+    return _objects(adj, "containers", "name", "image", "is_init").drop("parent")
+
+
+def env_table(adj: DataFrame) -> DataFrame:
+    """Env bindings: rec_id, container (its position), pos, name, source, value, ref_name, ref_key, prefix, optional."""
+    names = ("name", "source", "value", "ref_name", "ref_key", "prefix", "optional")
+    at = adj.where("label = 'containers' and kind = 'object'").select("rec_id", F.col("node").alias("parent"), F.col("ordinal").alias("container"))
+    return _objects(adj, "env", *names).join(at, ["rec_id", "parent"]).select("rec_id", "container", "pos", *names)
+
+
+def rule_table(adj: DataFrame) -> DataFrame:
+    """Ingress rules: rec_id, pos, host, path, path_type, backend_service, backend_port."""
+    names = ("host", "path", "path_type", "backend_service", "backend_port")
+    return _objects(adj, "ingress_rules", *names).select("rec_id", "pos", *names)
+
+
+def list_table(adj: DataFrame) -> DataFrame:
+    """Elements of the scalar lists of containers: rec_id, container (its position), label (ports or command), pos, value."""
+    at = adj.where("label = 'containers' and kind = 'object'").select("rec_id", F.col("node").alias("parent"), F.col("ordinal").alias("container"))
+    own = adj.where(F.col("label").isin("ports", "command") & (F.col("kind") != "object"))
+    return own.join(at, ["rec_id", "parent"]).select("rec_id", "container", "label", F.col("ordinal").alias("pos"), F.col("scalar").alias("value"))
 
 
 def workload_children(adj: DataFrame) -> DataFrame:
@@ -151,7 +276,8 @@ def workload_children(adj: DataFrame) -> DataFrame:
 def shred_children(k8s: DataFrame, catalog: DataFrame) -> DataFrame:
     """All child rows of workloads and catalog entities with record, parent and position."""
     adj = materialize(shred_json(once(catalog, "record_id"), "record_id", "payload"))
-    return workload_children(shred_workloads(once(k8s, "resource_id"))).unionByName(catalog_apis(adj))
+    work = shred_workloads(once(k8s, "resource_id"), frozenset(("name", "env", "host", "backend_service")))
+    return workload_children(work).unionByName(catalog_apis(adj))
 
 
 def catalog_entities(adj: DataFrame) -> DataFrame:
@@ -166,3 +292,9 @@ def catalog_entities(adj: DataFrame) -> DataFrame:
     inside = flat.select("rec_id", F.col("node").alias("above"), F.lit(True).alias("inner"))
     placed = placed.join(inside, ["rec_id", "above"], "left")
     return placed.select("rec_id", "node", F.when(F.col("inner"), F.col("above")).otherwise(F.lit(-1)).cast("bigint").alias("parent_node"), "kind", "name", "owner", "lifecycle")
+
+
+def entity_links(entities: DataFrame) -> DataFrame:
+    """Entities with the name of the entity that encloses them: rec_id, kind, name, owner, lifecycle, parent_name."""
+    above = entities.select("rec_id", F.col("node").alias("parent_node"), F.col("name").alias("parent_name"))
+    return entities.join(above, ["rec_id", "parent_node"], "left").select("rec_id", "kind", "name", "owner", "lifecycle", "parent_name")

@@ -29,6 +29,30 @@ def p2_entities(spark: SparkSession, d: str) -> DataFrame:
     return shredding.catalog_entities(materialize(shredding.shred_json(catalog, "record_id", "payload")))
 
 
+def p2_entity_links(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.entity_links(p2_entities(spark, d))
+
+
+def _workloads(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.shred_workloads(shredding.once(table(spark, d, "k8s_resources"), "resource_id"))
+
+
+def p2_containers(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.container_table(_workloads(spark, d)).drop("node")
+
+
+def p2_env(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.env_table(_workloads(spark, d))
+
+
+def p2_rules(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.rule_table(_workloads(spark, d))
+
+
+def p2_lists(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.list_table(_workloads(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.Hierarchy(hierarchy.containment(table(spark, d, "edges", "source_id", "target_id", "type", "status"))).rows()
 
@@ -51,13 +75,15 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.change_counts(table(spark, d, "artifacts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_entities, p3_found, p3_paths, p3_intervals, p4_found, p4_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_entities, p2_entity_links, p2_containers, p2_env, p2_rules, p2_lists, p3_found, p3_paths, p3_intervals, p4_found, p4_counts)}
 _REFS = """e AS (SELECT DISTINCT edge_id, source_id, target_id, loaded_at FROM edges),
  r AS (SELECT edge_id, 'source' AS side, trim(source_id) AS k, loaded_at AS t FROM e UNION ALL SELECT edge_id, 'target', trim(target_id), loaded_at FROM e),
  n AS (SELECT DISTINCT trim(id) AS k, loaded_at AS lo, deleted_at AS hi FROM nodes),
  j AS (SELECT r.edge_id, r.side, r.t, bool_or(n.k IS NOT NULL) AS known, coalesce(bool_or(lo <= t AND (hi IS NULL OR hi > t)), false) AS live, coalesce(bool_or(lo <= t), false) AS started
  FROM r LEFT JOIN n ON r.k = n.k WHERE coalesce(r.k, '') <> '' GROUP BY r.edge_id, r.side, r.t),
  x AS (SELECT edge_id, side, live, CASE WHEN NOT known THEN 'missing' WHEN started THEN 'deleted' ELSE 'late' END AS reason, strftime(t, '%Y-%m') AS period FROM j)"""
+_K8S = """k AS (SELECT DISTINCT * FROM k8s_resources),
+ c AS (SELECT resource_id, i, c FROM (SELECT resource_id, unnest(containers) AS c, CAST(unnest(range(0, len(containers))) AS BIGINT) AS i FROM k WHERE containers IS NOT NULL) WHERE c IS NOT NULL)"""
 _SNAPS = """v AS (SELECT DISTINCT artifact_id, repo_id, head_sha, commit_idx, delivered_at, edges FROM artifacts WHERE edges IS NOT NULL AND trim(coalesce(head_sha, '')) <> ''),
  l AS (SELECT *, row_number() OVER (PARTITION BY repo_id, head_sha ORDER BY delivered_at DESC, artifact_id DESC) AS rn FROM v),
  s AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY commit_idx, head_sha) AS seq FROM l WHERE rn = 1),
@@ -85,6 +111,18 @@ SQL: dict[str, str] = {
  SELECT 'env' AS child, resource_id AS rec_id, parent, CAST(pos AS BIGINT) AS pos, l[pos + 1].name AS child_name FROM env WHERE trim(coalesce(l[pos + 1].name, '')) <> ''
  UNION ALL SELECT 'ingress', resource_id, l[pos + 1].host, CAST(pos AS BIGINT), l[pos + 1].backend_service FROM ing WHERE trim(coalesce(l[pos + 1].backend_service, '')) <> ''
  UNION ALL SELECT 'api', record_id, ent_name, pos, trim(regexp_replace(regexp_replace(full_name, '^[^:]*:', ''), '^.*/', '')) FROM api WHERE trim(regexp_replace(regexp_replace(coalesce(full_name, ''), '^[^:]*:', ''), '^.*/', '')) <> ''""",
+    "p2_entity_links": """WITH t AS (SELECT record_id, t.* FROM (SELECT DISTINCT record_id, payload, repo_id, file_path, received_at FROM catalog_entities WHERE json_valid(payload)) c, json_tree(c.payload) t),
+ s AS (SELECT record_id, parent, max(CASE WHEN key = 'kind' THEN value ->> '$' END) AS kind, max(CASE WHEN key = 'name' THEN value ->> '$' END) AS name, max(CASE WHEN key = 'owner' THEN value ->> '$' END) AS owner,
+ max(CASE WHEN key = 'lifecycle' THEN value ->> '$' END) AS lifecycle FROM t WHERE key IN ('kind', 'name', 'owner', 'lifecycle') AND type NOT IN ('OBJECT', 'ARRAY', 'NULL') GROUP BY record_id, parent),
+ e AS (SELECT t.record_id, t.id, t.parent, s.kind, s.name, s.owner, s.lifecycle FROM t JOIN s ON s.record_id = t.record_id AND s.parent = t.id WHERE t.type = 'OBJECT' AND s.kind IS NOT NULL AND s.name IS NOT NULL)
+ SELECT e.record_id AS rec_id, e.kind, e.name, e.owner, e.lifecycle, a.name AS parent_name FROM e LEFT JOIN t l ON l.record_id = e.record_id AND l.id = e.parent LEFT JOIN e a ON a.record_id = e.record_id AND a.id = l.parent""",
+    "p2_containers": f"WITH {_K8S} SELECT resource_id AS rec_id, i AS pos, c.name AS name, c.image AS image, CAST(c.is_init AS VARCHAR) AS is_init FROM c",
+    "p2_env": f"""WITH {_K8S}, e AS (SELECT resource_id, i, unnest(c.env) AS e, CAST(unnest(range(0, len(c.env))) AS BIGINT) AS pos FROM c WHERE c.env IS NOT NULL)
+ SELECT resource_id AS rec_id, i AS container, pos, e.name AS name, e.source AS source, e.value AS value, e.ref_name AS ref_name, e.ref_key AS ref_key, e.prefix AS prefix, CAST(e.optional AS VARCHAR) AS optional FROM e WHERE e IS NOT NULL""",
+    "p2_rules": f"""WITH {_K8S}, r AS (SELECT resource_id, unnest(ingress_rules) AS r, CAST(unnest(range(0, len(ingress_rules))) AS BIGINT) AS pos FROM k WHERE ingress_rules IS NOT NULL)
+ SELECT resource_id AS rec_id, pos, r.host AS host, r.path AS path, r.path_type AS path_type, r.backend_service AS backend_service, r.backend_port AS backend_port FROM r WHERE r IS NOT NULL""",
+    "p2_lists": f"""WITH {_K8S}, l AS (SELECT resource_id, i, 'ports' AS label, CAST(unnest(c.ports) AS VARCHAR) AS value, CAST(unnest(range(0, len(c.ports))) AS BIGINT) AS pos FROM c
+ UNION ALL SELECT resource_id, i, 'command', unnest(c.command), CAST(unnest(range(0, len(c.command))) AS BIGINT) FROM c) SELECT resource_id AS rec_id, i AS container, label, pos, value FROM l WHERE value IS NOT NULL""",
     "p3_found": """WITH RECURSIVE l AS (SELECT DISTINCT trim(CASE WHEN type = 'MEMBER_OF' THEN source_id ELSE target_id END) AS c, trim(CASE WHEN type = 'MEMBER_OF' THEN target_id ELSE source_id END) AS p FROM edges
  WHERE status = 'active' AND type IN ('CONTAINS', 'DECLARES', 'MEMBER_OF') AND trim(coalesce(source_id, '')) <> '' AND trim(coalesce(target_id, '')) <> ''),
  u AS (SELECT c AS v, p AS a FROM l UNION SELECT u.v, l.p FROM u JOIN l ON u.a = l.c), n AS (SELECT c AS v FROM l UNION SELECT p FROM l), loops AS (SELECT v FROM u WHERE v = a),

@@ -1,6 +1,6 @@
 import json
 
-from claimweave.operators.shredding import bare_ref, catalog_apis, catalog_entities, once, pivot_scalars, shred_children, shred_json
+from claimweave.operators.shredding import _read_deep, _rows, bare_ref, catalog_apis, catalog_entities, once, pivot_scalars, shred_children, shred_json
 from pyspark.sql import functions as F
 
 K8S = """resource_id bigint, repo_id string, label string, containers array<struct<name string, image string, ports array<int>, env array<struct<name string, source string, value string, ref_name string,
@@ -55,3 +55,25 @@ def test_small_parts(spark):
     assert once(d, "i").count() == 2
     adj = shred_json(catalog(spark, '{"name": "n", "kind": {"name": "m"}}'), "record_id", "payload")
     assert sorted(r.name for r in pivot_scalars(adj, "name").collect()) == ["m", "n"]
+
+
+def test_deep_reader_equals_the_library():
+    texts = ['{"a": [1, -2.5e3, {"b": null, "a": true, "a": false}], "c": "x\\u00e9\\n"}', "[]", "{}", " [ [ ] , { } ] ", "3", '"s"', "[NaN, -Infinity]"]
+    for t in texts:
+        assert repr(_read_deep(t)) == repr(json.loads(t))
+    for t in ["", "[", "[1,]", "{", '{"a"}', '{"a":1,}', "[1] 2", "{1:2}", "nul", '"open', "[01]", "+1", '["\t"]'.replace("\\t", "\t")]:
+        for read in (_read_deep, json.loads):
+            try:
+                read(t)
+                raise AssertionError(t)
+            except ValueError:
+                pass
+
+
+def test_nesting_has_no_limit():
+    depth = 20_000
+    text = ''.join('{"kind": "C", "name": "n%d", "items": [' % i for i in range(depth)) + "]}" * depth
+    out = []
+    _rows(1, text, out)
+    assert len(out) == 4 * depth
+    assert [r[6] for r in out if r[3] == "name"] != [] and sum(r[5] == "object" for r in out) == depth
