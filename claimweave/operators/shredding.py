@@ -45,11 +45,11 @@ def read_json(text: str):
     try:
         return json.loads(text)
     except RecursionError:
-        return _read_deep(text)
+        return read_deep(text)
 
 
-def _read_deep(text: str):
-    """json.loads without recursion: open containers are on a list."""
+def read_deep(text: str, constants: bool = True):
+    """json.loads without recursion: open containers are on a list. `constants`: whether NaN and infinities are read."""
     skip = lambda i: _BLANKS.match(text, i).end()
     end = len(text)
     open_: list = []  # containers, innermost last
@@ -73,7 +73,7 @@ def _read_deep(text: str):
             value, i = scanstring(text, i + 1, True)
         else:
             m = _SCALAR.match(text, i)
-            if not m:
+            if not m or m.group(4) and not constants:
                 raise ValueError(f"no value at {i}")
             i = m.end()
             null, true, false, odd, whole, part, power = m.groups()

@@ -1,6 +1,6 @@
 import json
 
-from claimweave.operators.shredding import _read_deep, _rows, bare_ref, catalog_apis, catalog_entities, once, pivot_scalars, shred_children, shred_json
+from claimweave.operators.shredding import _rows, bare_ref, catalog_apis, catalog_entities, once, pivot_scalars, read_deep, shred_children, shred_json
 from pyspark.sql import functions as F
 
 K8S = """resource_id bigint, repo_id string, label string, containers array<struct<name string, image string, ports array<int>, env array<struct<name string, source string, value string, ref_name string,
@@ -60,9 +60,9 @@ def test_small_parts(spark):
 def test_deep_reader_equals_the_library():
     texts = ['{"a": [1, -2.5e3, {"b": null, "a": true, "a": false}], "c": "x\\u00e9\\n"}', "[]", "{}", " [ [ ] , { } ] ", "3", '"s"', "[NaN, -Infinity]"]
     for t in texts:
-        assert repr(_read_deep(t)) == repr(json.loads(t))
+        assert repr(read_deep(t)) == repr(json.loads(t))
     for t in ["", "[", "[1,]", "{", '{"a"}', '{"a":1,}', "[1] 2", "{1:2}", "nul", '"open', "[01]", "+1", '["\t"]'.replace("\\t", "\t")]:
-        for read in (_read_deep, json.loads):
+        for read in (read_deep, json.loads):
             try:
                 read(t)
                 raise AssertionError(t)
