@@ -18,6 +18,8 @@ class Recogniser:
         texts.append("")
         breaks.append(True)
         self.i = 0
+        #: Tokens that gave up a first `>`: index, text, break; taken back when a trial fails.
+        self.cuts: list[tuple[int, str, bool]] = []
 
     def at(self, *texts: str) -> bool:
         return self.texts[self.i] in texts and self.kinds[self.i] in ("op", "id")
@@ -50,14 +52,17 @@ class Recogniser:
         if not self.take(*texts):
             self.fail()
 
-    def attempt(self, rule, *args) -> bool:
+    def attempt(self, rule) -> bool:
         """Try a rule; on failure nothing is consumed."""
-        start = self.i
+        start, cuts = self.i, len(self.cuts)
         try:
-            rule(*args)
+            rule()
             return True
         except Invalid:
             self.i = start
+            while len(self.cuts) > cuts:
+                at, text, broke = self.cuts.pop()
+                self.texts[at], self.breaks[at] = text, broke
             return False
 
     def listed(self, rule, close: str, sep: str = ",", trailing: bool = True) -> None:
@@ -70,19 +75,20 @@ class Recogniser:
             if not trailing and self.at(close):
                 self.fail()
 
-    def split_angle(self) -> None:
-        """Make `>>`, `>>>`, `>=`... at the cursor give up their first `>`."""
-        t = self.texts[self.i]
-        if len(t) > 1 and t[0] == ">" and self.kinds[self.i] == "op":
-            self.texts[self.i] = t[1:]
-            self.kinds.insert(self.i, "op")
-            self.texts.insert(self.i, ">")
-            self.breaks.insert(self.i, self.breaks[self.i])
-            self.breaks[self.i + 1] = False
+    def at_angle(self) -> bool:
+        """Whether the token at the cursor begins with `>`."""
+        return self.kinds[self.i] == "op" and self.texts[self.i][:1] == ">"
 
     def need_angle(self) -> None:
-        self.split_angle()
-        self.need(">")
+        """Take one `>`; of `>>`, `>=`... the rest stays at the cursor."""
+        if not self.at_angle():
+            self.fail()
+        t = self.texts[self.i]
+        if len(t) == 1:
+            self.i += 1
+        else:
+            self.cuts.append((self.i, t, self.breaks[self.i]))
+            self.texts[self.i], self.breaks[self.i] = t[1:], False
 
 
 def balanced(kinds: list[str], texts: list[str]) -> bool:

@@ -58,6 +58,8 @@ class Go(Recogniser):
         super().__init__(*tokens(text))
         #: Composite literals of bare type names are not read while this is set (heads of if, for, switch).
         self.head = False
+        #: Whether the cursor is in the head of a switch, the only place of a type guard.
+        self.switching = False
 
     def file(self) -> None:
         self.need("package")
@@ -355,10 +357,12 @@ class Go(Recogniser):
     def switch_head(self) -> None:
         if self.at("{"):
             return
+        self.switching = True
         if not self.at(";"):
             self.simple()
         if self.take(";") and not self.at("{"):
             self.simple()
+        self.switching = False
 
     def cases(self) -> None:
         held, self.head = self.head, False
@@ -441,9 +445,12 @@ class Go(Recogniser):
         while self.kind() == "op":
             if self.take("."):
                 if self.take("("):
-                    if not self.take("type"):
+                    guard = self.take("type")
+                    if not guard:
                         self.type_()
                     self.need(")")
+                    if guard and not (self.switching and self.at("{")):
+                        self.fail()
                 else:
                     self.name()
             elif self.at("("):

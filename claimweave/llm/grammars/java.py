@@ -229,9 +229,8 @@ class Java(Recogniser):
     def type_args(self) -> None:
         if self.at("<"):
             self.i += 1
-            self.split_angle()
-            if self.take(">"):
-                return
+            if self.at_angle():
+                return self.need_angle()
             while True:
                 self.annotations()
                 if self.take("?"):

@@ -109,12 +109,28 @@ def _template(text: str, pos: int, inner: list[str]) -> int:
     raise Invalid("template literal")
 
 
+def _closes(kinds: list[str], texts: list[str]) -> dict[int, int]:
+    """The closing bracket of every bracket that has one."""
+    open_: list[int] = []
+    closes: dict[int, int] = {}
+    for j, (k, t) in enumerate(zip(kinds, texts)):
+        if k == "op":
+            if t in ("(", "[", "{"):
+                open_.append(j)
+            elif t in (")", "]", "}") and open_:
+                closes[open_.pop()] = j
+    return closes
+
+
 class Script(Recogniser):
     def __init__(self, text: str, typed: bool):
         kinds, texts, breaks, inner = tokens(text)
         super().__init__(kinds, texts, breaks)
         self.typed = typed
         self.inner = inner
+        self.closes = _closes(kinds, texts)
+        #: Function bodies around the cursor.
+        self.bodies = 0
 
     def program(self) -> None:
         while self.kinds[self.i] != "eof":
@@ -145,6 +161,14 @@ class Script(Recogniser):
         while not self.take("}"):
             self.statement()
 
+    def body(self) -> None:
+        """Block of a function."""
+        self.bodies += 1
+        try:
+            self.block()
+        finally:
+            self.bodies -= 1
+
     def statement(self) -> None:
         k, t = self.kinds[self.i], self.texts[self.i]
         if k == "op":
@@ -290,7 +314,7 @@ class Script(Recogniser):
         if self.typed and not self.at("{"):
             self.semicolon()
         else:
-            self.block()
+            self.body()
 
     def params(self) -> None:
         self.need("(")
@@ -452,6 +476,8 @@ class Script(Recogniser):
                 self.statement()
 
     def s_return(self) -> None:
+        if not (self.bodies or self.typed):
+            self.fail()
         self.i += 1
         if not self.at(";", "}") and self.kind() != "eof" and not self.breaks[self.i]:
             self.expression()
@@ -561,17 +587,9 @@ class Script(Recogniser):
 
     def close_of(self, at: int) -> int:
         """Index of the bracket that closes the one at `at`."""
-        depth = 0
-        for j in range(at, len(self.texts)):
-            if self.kinds[j] == "op":
-                t = self.texts[j]
-                if t in ("(", "[", "{"):
-                    depth += 1
-                elif t in (")", "]", "}"):
-                    depth -= 1
-                    if not depth:
-                        return j
-        raise Invalid("bracket")
+        if at not in self.closes:
+            raise Invalid("bracket")
+        return self.closes[at]
 
     def arrow(self) -> bool:
         """An arrow function at the cursor, if there is one."""
@@ -600,7 +618,7 @@ class Script(Recogniser):
             self.fail()
         self.need("=>")
         if self.at("{"):
-            self.block()
+            self.body()
         else:
             self.assignment()
         return True

@@ -57,6 +57,28 @@ def test_invalid(lang, text):
     assert G.check(lang, text) is False
 
 
+@pytest.mark.parametrize("text", ["f(a < b, c >> d);", "foo(i < len, bits >> 1);", "f(a < b, c >>> d)", "let x: A<B<C<D>>>= y;", "const y = f<A<B>>(z) >> 1;"])
+def test_shifts_after_a_failed_type_argument(text):
+    assert G.check("TypeScript", text) is True
+
+
+@pytest.mark.parametrize("lang,text", [("JavaScript", "return 1;"), ("Go", "package a\nfunc f() { x := y.(type) }\n"), ("Go", "package a\nfunc f() { if y.(type) { } }\n")])
+def test_words_out_of_their_place(lang, text):
+    assert G.check(lang, text) is False
+
+
+@pytest.mark.parametrize("lang,text", [
+    ("JavaScript", "x = {};", ), ("TypeScript", "let x: any = {};"), ("Java", "class A {{ int x = {}; }}"), ("Go", "package a\n\nvar x = {}\n"), ("JSON", "{}")])
+def test_deep_nesting_is_linear(lang, text):
+    import time
+
+    for n in (8_000, 60_000):
+        deep = ("[" * n + "]" * n) if lang == "JSON" else "(" * n + "1" + ")" * n
+        begun = time.time()
+        assert G.check(lang, text.replace("{}", deep).replace("{{", "{").replace("}}", "}")) is True
+        assert n > 8_000 or time.time() - begun < 3
+
+
 def test_other_languages_and_depth():
     assert G.check("Markdown", "x") is None and G.check(None, "x") is None
     assert G.check("JavaScript", "x = " + "[" * 30_000) is False
