@@ -68,8 +68,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors.
+def materialize(df: DataFrame, by: str | None = None, **metrics: Column) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors. `by`: a column with few
+    values whose rows get a folder each, so that a filter on it reads no other rows.
 
     The number of rows and further `metrics` (aggregates) are taken while writing; noted() and noted(out, name) give them.
     The files go when the application ends; drop_table() may remove them earlier.
@@ -77,7 +78,7 @@ def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/claimweave/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(path, partitionBy=by)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
