@@ -31,6 +31,10 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files", "file_id", "repo_id", "path", "name", "language", "content")
 
 
+def _marked_files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files", "file_id", "repo_id", "path", "name", "content", "is_test", "size_bytes")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_files(_files(spark, d))
 
@@ -44,11 +48,11 @@ def p6_causes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.not_handwritten(_files(spark, d))
+    return handwritten.not_handwritten(_marked_files(spark, d))
 
 
 def p7_labels(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.beliefs(_files(spark, d)).distinct()
+    return handwritten.beliefs(_marked_files(spark, d)).distinct()
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import itertools
 
+import numpy as np
+
 from claimweave.llm import handwritten as H
 
 MIN = "!function(e,t){" + "e.p=function(s,d){return s?d(s):void 0};t.g={v:!0,n:!1};" * 20 + "}(this,{});"
@@ -23,26 +25,53 @@ def test_cases(spark):
     assert H.not_handwritten(frame(spark, CASES).limit(0)).count() == 0
 
 
-def test_messages_give_the_best_joint_labels(spark):
-    """Max-marginals against all joint labels of a small tree."""
-    cases = [(1, "r_x", "vendor/a.js", "x", 0), (2, "r_x", "vendor/s/b.js", "// Copyright (c) 2020 r. Mine\n", 0), (3, "r_x", "p/c.js", "y", 0)]
+def test_messages_give_the_marginals(spark):
+    """Marginals against the sum over all joint labels of directories and groups of siblings of a small tree."""
+    cases = [(1, "r_x", "vendor/a.js", "x", 0), (2, "r_x", "vendor/s/b.js", "// Copyright (c) 2020 r. Mine\n", 0), (3, "r_x", "p/c.js", "y", 0), (4, "r_x", "p/d.js", MIN, 0)]
     files = frame(spark, cases)
-    ev = {r.file_id: [r[f"e{i}"] for i in range(5)] for r in H.file_evidence(files).collect()}
+    ev = {r.file_id: np.array([r[f"e{i}"] for i in range(5)]) for r in H.file_evidence(files).collect()}
     dirs = ["", "vendor", "vendor/s", "p"]
     up = {"vendor": "", "vendor/s": "vendor", "p": ""}
-    best = {}
+    held = {d: [i for i, _, p, _, _ in cases if p.rpartition("/")[0] == d] for d in dirs[1:]}
+    sums = {i: np.zeros(5) for i in ev}
     for d in itertools.product(range(5), repeat=4):
         lab = dict(zip(dirs, d))
-        base = sum(H.DIR_PRIOR[x] + (2 * H.STRONG if k == "vendor" and x == 3 else 0) for k, x in lab.items())
+        base = sum(H.DIR_PRIOR[x] + (H.NAMED if k == "vendor" and x == 3 else 0) for k, x in lab.items())
         base += sum(H.BETWEEN[lab[p]][lab[k]] for k, p in up.items() if k != "vendor")
-        tops = {i: [ev[i][x] + H.COMPATIBLE[lab[p.rpartition("/")[0]]][x] for x in range(5)] for i, _, p, _, _ in cases}
-        for i in tops:
-            rest = base + sum(max(v) for j, v in tops.items() if j != i)
-            for x in range(5):
-                best[i, x] = max(best.get((i, x), -1e9), rest + tops[i][x])
-    want = {i: (max(range(5), key=lambda x: best[i, x]), round(max(best[i, x] for x in range(5)) - best[i, 0], 4)) for i in ev}
-    got = {r.file_id: (H.LABELS.index(r.label), r.log_odds) for r in H.beliefs(files).collect()}
-    assert got == want
+        for g in itertools.product(range(5), repeat=3):
+            joint = base + sum(H.GROUP[lab[x]][y] for x, y in zip(dirs[1:], g))
+            one = {i: np.exp(ev[i] + np.array(H.SIBLING[y])) for x, y in zip(dirs[1:], g) for i in held[x]}
+            for i in ev:
+                sums[i] += np.exp(joint) * one[i] * np.prod([v.sum() for j, v in one.items() if j != i])
+    want = {i: (int(v.argmax()), round(float(np.log(v.max()) - np.log(v[0])), 3)) for i, v in sums.items()}
+    got = {r.file_id: (H.LABELS.index(r.label), round(r.log_odds, 3)) for r in H.beliefs(files).collect()}
+    assert got == want and {x for x, _ in got.values()} == {0, 2, 3}
+
+
+def test_siblings_decide_a_file_without_evidence(spark):
+    """One unmarked file among many generated, minified or data files of its kind goes with them; next to few it does not."""
+    sibling = {"generated": ("go", "// Code generated by gen v1. DO NOT EDIT.\npackage a\n"), "minified": ("js", MIN), "blob": ("js", NUMBERS)}
+    cases, want, n = [], {}, 0
+    for label, (kind, text) in sibling.items():
+        for many in (3, 40):
+            for k in range(many):
+                n += 1
+                cases.append((n, f"r_{many}", f"src/{label}{many}/f{k}.{kind}", text, True))
+            n += 1
+            cases.append((n, f"r_{many}", f"src/{label}{many}/plain.{kind}", "x = 1\n", False))
+            want[n] = label if many == 40 else "handwritten"
+    got = {r.file_id: r.label for r in H.beliefs(frame(spark, cases)).collect()}
+    assert {i: got[i] for i in want} == want
+
+
+def test_evidence_grows_with_size_and_share():
+    label = lambda path, text, **k: max(range(5), key=H.evidence("o_r", path, path, text, **k).__getitem__)
+    hexes = "class T {\n static final int[] D = {\n" + "  0x6f, 0x30, 0x4b, 0xd6,\n" * 60 + " };\n}\n"
+    assert label("T.java", hexes) == 4 and label("a.js", "x = [1, 2, 3];\n") == 0
+    few, many = (H.evidence("o_r", "a.js", "a.js", "D = [" + "7, " * k + "]")[4] for k in (20, 40))
+    assert few < many
+    assert H.evidence("o_r", "a.go", "a.go", "x", is_test=True)[0] > H.evidence("o_r", "a.go", "a.go", "x", is_test=False)[0]
+    assert H.evidence("o_r", "a.go", "a.go", None, size=9e9)[1] > H.evidence("o_r", "a.go", "a.go", None, size=None)[1]
 
 
 def test_marks_count_wherever_their_comment_stands():
