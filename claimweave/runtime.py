@@ -92,6 +92,19 @@ def noted(df: DataFrame, metric: str = "rows") -> int:
     return int(df._claimweave_noted[metric] or 0)
 
 
+def table_files(df: DataFrame) -> list[str]:
+    """Data files of a materialized table; their names are unique."""
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(df._claimweave_path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    out = []
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().startswith("part-"):
+            out.append(path.toUri().toString())
+    return sorted(out)
+
+
 #: Rows of ids and small columns up to which a written side may be broadcast.
 SMALL_ROWS = 200_000
 
