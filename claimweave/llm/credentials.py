@@ -20,6 +20,7 @@ import json
 import math
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.encoding import TOKENIZER_DIR
-from claimweave.runtime import spread
+from claimweave.runtime import ship_package, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Letters of a literal that no dictionary word explains, from which it counts as random.
@@ -47,8 +48,8 @@ _BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _HASH_LEAD = re.compile(r"(?i)(?:sha(?:1|224|256|384|512)|md5)[-:=]\Z")
-#: What stands in front of the data of a URI, what encoded certificates and public keys begin with, and rows of literals behind one.
-_DATA_LEAD = re.compile(r"(?i)\bdata:[\w.+/;=-]*,\Z|;base64,\Z")
+_HASH_FORM = re.compile(r"(?i)sha(?:1|224|256|384|512)-|md5-")
+#: What encoded certificates and public keys begin with, and rows of literals behind one.
 _PUBLIC_LEAD = re.compile(r"LS0tLS1CRUdJTi(?:BDRVJU|BQVUJM)")
 _ROWS = re.compile(r"""[^\n]{0,4}(?:\r?\n[ \t]*[bBrR]?(["'])[A-Za-z0-9+/=_-]{40,}\1[ \t]*[,+\\)]?[ \t]*(?=\r?\n|\Z)){3}""")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -56,9 +57,12 @@ _VARIABLE = re.compile(r"\$\{|\$\(|\$[A-Za-z_]|\{\{|%[A-Za-z_]+%|<[^>]*>|\A%\w|\
 _PLACEHOLDER = re.compile(r"(?i)(?:change[_ -]?(?:me|it|this)|replace[_ -]?(?:me|this)?|todo|tbd|fixme|not[_ -]?set|unset|none|null|nil|true|false|example|dummy|placeholder|\[?redacted\]?|masked|your[_ -].*|insert[_ -].*|x{3,}|\*{3,}|password|passwd|user_password|secret|token|undefined|empty|optional|required|default|env|vault.*|file.*)\Z")
 _JOIN = re.compile(r"(['\"])[ \t]*\+?[ \t]*(?:\\?\r?\n[ \t]*)?\+?[ \t]*\1(?=[^\s'\"])")
 _CLOSE = re.compile(r"[\s\"'`<>|,;)\]}]")
-_NAME = re.compile(r"([A-Za-z_][\w.-]*)[\"'`\])}\s]*\Z")
-_XML_NAME = re.compile(r"name=[\"']([^\"']+)[\"']\s+value=[\"']?\Z")
-_MARK = re.compile(r"(?:=>|:=|[:=>|]|\bis)[\"'`\sbrf(]*\Z")
+_SCHEME = re.compile(r"(?:Bearer|Basic|Token)\Z")
+_OWN_NAME = re.compile(r"(?:-e|--env)?=?([A-Za-z_][\w.-]*)[=:]")
+_INNER_NAME = re.compile(r"([A-Za-z_][\w.-]*)=")
+_OPEN_END = re.compile(r"\r?\n\s*\r?\n|[\"'`]|\Z")
+#: Characters that end the word of a literal, beside blanks.
+_SEPARATORS = frozenset("\"'`<>|,([{")
 
 
 @lru_cache(maxsize=4)
@@ -126,7 +130,7 @@ def kind_of_name(name: str) -> str:
 
 def written_out(value: str) -> bool:
     """Whether a value under a credential's name is a credential and not a placeholder, reference, path or word."""
-    if len(value) < 6 or _VARIABLE.search(value) or _PLACEHOLDER.match(value) or _UUID.match(value):
+    if _VARIABLE.search(value) or _PLACEHOLDER.match(value) or _UUID.match(value):
         return False
     if re.match(r"(?:/|\.{1,2}/|~/|[A-Za-z]:\\|https?://|[a-z]+:[a-z]+/|vault:|arn:|file:)", value):
         return False
@@ -163,7 +167,7 @@ class Finder:
         """Spans of credentials in the value of a named setting."""
         if not value or not value.strip():
             return []
-        spans = self.forms(value, 0)
+        spans = self.forms(value)
         if spans or "-----BEGIN" in value:
             return spans
         kind = kind_of_name(name or "")
@@ -175,66 +179,73 @@ class Finder:
             return []
         return self.tokens(value, whole=True)
 
-    def forms(self, text: str, base: int) -> list[tuple[int, int]]:
+    def forms(self, text: str) -> list[tuple[int, int]]:
         """Private key blocks and passwords of connection strings."""
         spans = []
-        for m in _BLOCK.finditer(text) if "-----BEGIN" in text else ():
-            if "PRIVATE" in m.group(1):
-                end = text.find("-----END", m.end())
-                nxt = text.find("-----BEGIN", m.end())
-                if end < 0 or 0 <= nxt < end:
-                    stop = re.compile(r"\r?\n\s*\r?\n|[\"'`]|\Z").search(text, m.end())
-                    spans.append((base + m.end(), base + stop.start()))
+        if "-----BEGIN" in text:
+            ends = [m.start() for m in re.finditer("-----END", text)]
+            begins = [m.start() for m in re.finditer("-----BEGIN", text)]
+            for m in _BLOCK.finditer(text):
+                if "PRIVATE" not in m.group(1):
+                    continue
+                end, nxt = _after(ends, m.end()), _after(begins, m.end())
+                if end is None or nxt is not None and nxt < end:
+                    stop = _OPEN_END.search(text, m.end())
+                    spans.append((m.end(), stop.start()))
                 else:
-                    spans.append((base + m.end(), base + end))
+                    spans.append((m.end(), end))
         for m in _URI.finditer(text) if "://" in text else ():
             pw = m.group(1)
             if not _VARIABLE.search(pw) and not _PLACEHOLDER.match(pw) and "<" not in pw:
-                spans.append((base + m.start(1), base + m.end(1)))
+                spans.append(m.span(1))
         return spans
 
     def tokens(self, text: str, whole: bool = False) -> list[tuple[int, int]]:
-        """Random literals; outside of a whole value they must follow an assignment."""
+        """Random literals; outside of a whole value they must follow an assignment. One walk: `word` is where the text
+        without separators in which a literal stands begins, looked for behind the literal before only."""
         spans = []
+        word = seen = 0
         for m in _CANDIDATE.finditer(text):
-            t = m.group()
-            if not self.random(t):
-                continue
             start = m.start()
-            lead = text[max(0, start - 120) : start]
-            if _DATA_LEAD.search(lead) or _PUBLIC_LEAD.match(t) or _ROWS.match(text, m.end()):
+            k = start
+            while k > seen and text[k - 1] not in _SEPARATORS and not text[k - 1].isspace():
+                k -= 1
+            if k > seen:
+                word = k
+            seen = start
+            if not self.random(m.group()):
+                continue
+            if _in_data_uri(text, start) or _PUBLIC_LEAD.match(text, start) or _ROWS.match(text, m.end()):
                 continue
-            if _HASH_LEAD.search(lead) or re.match(r"(?i)sha(?:1|224|256|384|512)-|md5-", t):
+            if _HASH_LEAD.search(text[max(0, start - 8) : start]) or _HASH_FORM.match(text, start):
                 continue
-            if not whole and not self.assigned(text, start):
+            if not whole and not self.assigned(text, word, start):
                 continue
             spans.append((start, m.end()))
         return spans
 
-    def assigned(self, text: str, start: int) -> bool:
-        """Whether the literal at `start` is given to a name, by a mark in front of its first word."""
-        line = text.rfind("\n", 0, start) + 1
-        lead = text[max(line, start - 160) : start]
-        # Go back over the rest of the literal: parts of it that are cut by other characters.
-        word = re.search(r"(?:(?:Bearer|Basic|Token)\s+)?[^\s\"'`<>|,(\[{]*\Z", lead)
-        before = lead[: word.start()]
-        own = lead[word.start() :]
-        name = None
-        if x := _XML_NAME.search(before):
-            name = x.group(1)
-        elif mark := _MARK.search(before):
-            n = _NAME.search(before[: mark.start()])
-            name = n.group(1) if n else ""
-        elif inner := re.match(r"(?:-e|--env)?=?([A-Za-z_][\w.-]*)[=:]", own):
-            name = inner.group(1)
-        if name is None and not re.search(r"(?:Bearer|Basic)\s+\Z", own):
+    def assigned(self, text: str, word: int, start: int) -> bool:
+        """Whether the literal at `start`, in the word that begins at `word`, is given to a name by a mark in front."""
+        k = word
+        while k and text[k - 1] in " \t":
+            k -= 1
+        if k < word and (scheme := _SCHEME.search(text[max(0, k - 6) : k])):
+            word, bearer = k - len(scheme.group()), word == start and scheme.group() != "Token"
+        else:
+            bearer = False
+        name = _xml_name(text, word)
+        if name is None and (mark := _mark(text, word)) is not None:
+            name = _name_before(text, mark)
+        own = _OWN_NAME.match(text, word, start)
+        if name is None and own:
+            name = own.group(1)
+        if name is None and not bearer:
+            return False
+        if (inner := _INNER_NAME.match(text, word, start)) and kind_of_name(inner.group(1)) == "hash":
             return False
-        if inner := re.match(r"([A-Za-z_][\w.-]*)=", own):
-            if kind_of_name(inner.group(1)) == "hash":
-                return False
         return kind_of_name(name or "") != "hash"
 
-    def named(self, text: str, masked: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def named(self, text: str, masked: Cover) -> list[tuple[int, int]]:
         """Values that follow a name which announces a credential."""
         spans = []
         for m in _CREDENTIAL_NAME.finditer(text):
@@ -266,7 +277,7 @@ class Finder:
                     while stop > at and text[stop - 1] in ".,;:!?":
                         stop -= 1
             value = text[at:stop]
-            if written_out(value) and "://" not in value and not any(a < stop and at < b for a, b in masked):
+            if written_out(value) and "://" not in value and not masked.meets(at, stop):
                 spans.append((at, stop))
         return spans
 
@@ -275,11 +286,11 @@ class Finder:
         if not text:
             return []
         joined, at = _collapse(text)
-        blocks = [(m.start(), _block_end(joined, m)) for m in _BLOCK.finditer(joined)] if "-----BEGIN" in joined else []
-        spans = self.forms(joined, 0)
-        outside = lambda s: not any(a <= s[0] < b for a, b in blocks)
-        spans += [s for s in self.tokens(joined) if outside(s) and not any(a < s[1] and s[0] < b for a, b in spans)]
-        spans += [s for s in self.named(joined, spans + blocks) if outside(s)]
+        blocks = _blocks(joined) if "-----BEGIN" in joined else []
+        spans = self.forms(joined)
+        known = Cover(spans + blocks)
+        spans += [s for s in self.tokens(joined) if not known.meets(*s)]
+        spans += self.named(joined, Cover(spans + blocks))
         return [x for s in sorted(set(spans)) for x in at(s)]
 
 
@@ -291,12 +302,88 @@ def kind_of_reference(value: str) -> bool:
 _ASSIGNED = re.compile(r"(?:[\"'`\])}]*\s*(?P<m>=>|:=|[:=|>]|is\b|[\"']\s+value=)\s*)(?P<q>[\"'`])?")
 
 
-def _block_end(text: str, m: re.Match) -> int:
-    end = text.find("-----END", m.end())
-    if end < 0:
-        return len(text)
-    close = text.find("-----", end + 8)
-    return close + 5 if close >= 0 else len(text)
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Key and certificate blocks with their marks; one that is cut off reaches to the end of the text."""
+    ends = [m.end() for m in re.finditer(r"-----END(?s:.*?)-----", text)]
+    out = []
+    for m in _BLOCK.finditer(text):
+        end = _after(ends, m.end() + 1)
+        out.append((m.start(), len(text) if end is None else end))
+    return out
+
+
+def _after(at: list[int], least: int) -> int | None:
+    """The first of sorted positions that is not before `least`."""
+    k = bisect_left(at, least)
+    return at[k] if k < len(at) else None
+
+
+class Cover:
+    """The union of spans, to ask whether another one meets it."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+
+def _in_data_uri(text: str, start: int) -> bool:
+    """Whether the literal is the data of a URI: `data:TYPE,` or `;base64,` in front."""
+    if text[start - 1 : start] != ",":
+        return False
+    k = start - 1
+    while k and (text[k - 1].isalnum() or text[k - 1] in "_.+/;=-"):
+        k -= 1
+    return text[max(0, start - 8) : start].lower() == ";base64," or text[max(0, k - 5) : k].lower() == "data:"
+
+
+def _mark(text: str, k: int) -> int | None:
+    """Where the assignment mark in front of k begins, over quotes, blanks and prefixes of literals; None without one."""
+    while k and text[k - 1] in "\"'`brf( \t":
+        k -= 1
+    two, one = text[max(0, k - 2) : k], text[k - 1 : k]
+    if two in ("=>", ":="):
+        return k - 2
+    if one and one in ":=>|":
+        return k - 1
+    return k - 2 if two == "is" and not (k > 2 and (text[k - 3].isalnum() or text[k - 3] == "_")) else None
+
+
+def _name_before(text: str, k: int) -> str:
+    """The name that ends in front of k, over quotes, brackets and blanks; '' without one."""
+    while k and text[k - 1] in "\"'`])} \t":
+        k -= 1
+    end = k
+    while k and (text[k - 1].isalnum() or text[k - 1] in "_.-"):
+        k -= 1
+    while k < end and not (text[k].isalpha() or text[k] == "_"):
+        k += 1
+    return text[k:end]
+
+
+def _xml_name(text: str, k: int) -> str | None:
+    """The name of `name="NAME" value="` in front of k."""
+    k -= k > 0 and text[k - 1] in "\"'"
+    if text[max(0, k - 6) : k] != "value=" or not text[k - 7 : k - 6].isspace():
+        return None
+    k -= 6
+    while k and text[k - 1].isspace():
+        k -= 1
+    if text[k - 1 : k] not in ("'", '"'):
+        return None
+    end = k = k - 1
+    while k and text[k - 1] not in "\"'":
+        k -= 1
+    return text[k:end] if k < end and text[max(0, k - 6) : k - 1] == "name=" else None
 
 
 def _collapse(text: str):
@@ -358,11 +445,13 @@ def in_texts(df: DataFrame, origin: str, rid: str, text: str, folder: str | None
         for b in batches:
             rows = []
             for rec, t in zip(b["rec_id"], b["text"]):
-                lines = set()
-                for s in f.text(t):
-                    # A key block begins with its mark, in front of the masked part.
-                    lines.add(t.count("\n", 0, s[0]) + 1)
-                rows += [(origin, rec, str(n)) for n in sorted(lines)]
+                at = line = 0
+                lines = {}
+                for start, _ in f.text(t):  # in order; a key block begins with its mark, in front of the masked part
+                    line += t.count("\n", at, start)
+                    at = start
+                    lines[line + 1] = None
+                rows += [(origin, rec, str(n)) for n in lines]
             yield pd.DataFrame(rows, columns=["origin", "rec_id", "spot"])
 
     return spread(df.select(F.col(rid).cast("bigint").alias("rec_id"), F.col(text).alias("text")).where("text is not null")).mapInPandas(run, "origin string, rec_id bigint, spot string")
@@ -377,6 +466,7 @@ def in_values(df: DataFrame, origin: str, folder: str | None = None) -> DataFram
             rows = [(origin, r, s) for r, s, n, v, ref in zip(b["rec_id"], b["spot"], b["name"], b["value"], b["reference"]) if f.value(n or "", v, bool(ref))]
             yield pd.DataFrame(rows, columns=["origin", "rec_id", "spot"])
 
+    ship_package(df.sparkSession)
     return df.select("rec_id", "spot", "name", "value", "reference").where("value is not null and value <> ''").mapInPandas(run, "origin string, rec_id bigint, spot string")
 
 
@@ -423,4 +513,5 @@ def redacted_values(values: DataFrame, folder: str | None = None) -> DataFrame:
             spans = [f.value(n or "", v, bool(r)) for n, v, r in zip(b["name"], b["value"], b["reference"])]
             yield b.assign(value=[redact(v, sorted(s)) for v, s in zip(b["value"], spans)], n_masked=[len(s) for s in spans])
 
+    ship_package(values.sparkSession)
     return values.select("rec_id", "spot", "name", "value", "reference").mapInPandas(run, "rec_id bigint, spot string, name string, value string, reference boolean, n_masked bigint")
