@@ -5,9 +5,10 @@ how far the window may move when the block cannot end a pattern (five words for
 zero leads to the bucket of patterns that end in the block, and the six words are compared directly. Found runs are laid
 over the item's passage; a document is a case when they cover a third of the item's own words.
 
-The items are a stated query set and go to every task; they are cut into blocks of bounded text, each a pass over all
-documents, so the size of what is sent is bounded however many items there are. Which runs are shared between items is
-counted over all items by Spark.
+The items are a stated query set. Which runs are shared between items is found by Spark; the items with the places of
+their shared runs are written in blocks of bounded text, whose files the executors fetch. Each task builds the tables of
+one block after the other for a batch of documents, so there is one pass over the documents, what a worker holds is
+bounded however many items there are, and neither items nor runs come to the driver.
 
 Defined cases
 * null, empty and short texts hold nothing; an item of fewer than six words or without own words is never a case;
@@ -17,20 +18,23 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.runtime import spread
+from claimweave.runtime import lookup_join, materialize, noted, ship_package, spread, table_files
 
 RUN = 6
 SHARE = 1 / 3
-#: Characters of passages in one block of the query set.
-BLOCK_CHARS = 8_000_000
+#: Characters of passages in one block of the query set, and blocks whose tables a worker keeps between batches.
+BLOCK_CHARS = 2_000_000
+KEPT_BLOCKS = 2
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -47,16 +51,17 @@ class Patterns:
     own: dict[int, frozenset[int]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], shared: set[tuple[str, ...]]) -> Patterns:
+    def build(cls, items: Iterator[tuple[int, str, list[int]]]) -> Patterns:
+        """Tables of items, each with its passage and the places of the runs that other items have too."""
         p = cls()
-        for item, passage in items:
+        for item, passage, shared in items:
             words = words_of(passage)
-            runs = [tuple(words[i : i + RUN]) for i in range(len(words) - RUN + 1)]
-            outside = {k for i, r in enumerate(runs) if r in shared for k in range(i, i + RUN)}
-            p.own[item] = frozenset(range(len(words))) - outside
-            for i, run in enumerate(runs):
-                if run in shared:
+            p.own[item] = frozenset(range(len(words))) - {k for i in shared for k in range(i, i + RUN)}
+            skip = set(shared)
+            for i in range(len(words) - RUN + 1):
+                if i in skip:
                     continue
+                run = tuple(words[i : i + RUN])
                 p.bucket.setdefault(run[-2:], {}).setdefault(run, []).append((item, i))
                 for j in range(1, RUN):
                     ends = p.shift.setdefault(run[j - 1], {})
@@ -85,42 +90,60 @@ class Patterns:
         return [item for item, at in self.search(words).items() if (own := self.own[item]) and len(at & own) >= SHARE * len(own)]
 
 
-def shared_runs(items: DataFrame, item: str = "item_id", passage: str = "passage") -> DataFrame:
-    """Six-word runs that two or more items have: run (words joined by blanks), from all items."""
-    from pyspark.sql.types import ArrayType, StringType
+def item_runs(items: DataFrame, item: str, passage: str) -> DataFrame:
+    """All six-word runs of the items: item, at (place in the passage), run (words joined by blanks)."""
 
-    cut = F.udf(lambda t: sorted({" ".join(w[i : i + RUN]) for w in [words_of(t)] for i in range(len(w) - RUN + 1)}), ArrayType(StringType()))
-    runs = items.select(item, F.explode(cut(passage)).alias("run")).distinct()
-    return runs.groupBy("run").count().where("count > 1").select("run")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, i, " ".join(w[i : i + RUN])) for k, t in zip(batch[item], batch[passage]) for w in [words_of(t)] for i in range(len(w) - RUN + 1)]
+            yield pd.DataFrame(rows, columns=["item", "at", "run"])
+
+    ship_package(items.sparkSession)
+    return items.mapInPandas(run, "item bigint, at int, run string")
+
+
+def item_blocks(items: DataFrame, item: str = "item_id", passage: str = "passage") -> DataFrame:
+    """The items with the places of their shared runs, written as one file for each block of about BLOCK_CHARS."""
+    once = items.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).cast("bigint").alias(item), passage).distinct()
+    once = materialize(once, chars=F.sum(F.length(passage)))
+    runs = materialize(item_runs(once, item, passage))
+    shared = runs.groupBy("run").agg(F.min("item").alias("a"), F.max("item").alias("b")).where("a < b").select("run", F.lit(True).alias("shared"))
+    places = lookup_join(runs, shared, "run", noted(runs), "inner").groupBy(F.col("item").alias(item)).agg(F.collect_list("at").alias("shared"))
+    n = max(1, math.ceil(noted(once, "chars") / BLOCK_CHARS))
+    out = once.join(places, item, "left").select(item, passage, F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
+    return materialize(out.repartition(n, item))
+
+
+_KEPT: dict[str, Patterns] = {}
+
+
+def _tables(name: str, item: str, passage: str) -> Patterns:
+    """Search tables of the block in this fetched file; the last KEPT_BLOCKS stay."""
+    import pyarrow.parquet as pq
+
+    if name not in _KEPT:
+        while len(_KEPT) >= KEPT_BLOCKS:
+            del _KEPT[next(iter(_KEPT))]
+        rows = pq.ParquetFile(SparkFiles.get(name)).read(columns=[item, passage, "shared"]).to_pydict()
+        _KEPT[name] = Patterns.build(zip(rows[item], rows[passage], rows["shared"]))
+    return _KEPT[name]
 
 
 def leaks(docs: DataFrame, items: DataFrame, rid: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
     """Every pair of a document and an item that leaked into it: rid, item."""
-    spark = docs.sparkSession
-    items = items.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).cast("bigint").alias(item), passage).distinct()
-    rows = [(r[0], r[1]) for r in items.toLocalIterator()]
-    shared = {tuple(r[0].split(" ")) for r in shared_runs(items, item, passage).toLocalIterator()}
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in sorted(rows):
-        if size and size + len(r[1]) > BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += len(r[1])
-
-    slim = docs.select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text")).where("length(text) > 10")
-    out = None
-    for block in blocks:
-        mine = {run for _, p in block for w in [words_of(p)] for run in (tuple(w[i : i + RUN]) for i in range(len(w) - RUN + 1))} & shared
-        tables = spark.sparkContext.broadcast(Patterns.build(block, mine))
-
-        def run(batches: Iterator[pd.DataFrame], tables=tables) -> Iterator[pd.DataFrame]:
-            found = tables.value
-            for batch in batches:
-                hits = [(d, i) for d, t in zip(batch["rid"], batch["text"]) for i in found.cases(words_of(t))]
+    context = docs.sparkSession.sparkContext
+    files = table_files(item_blocks(items, item, passage))
+    for path in files:
+        context.addFile(path)
+    blocks = [x.rsplit("/", 1)[-1] for x in files]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [words_of(t) for t in batch["text"]]
+            for name in blocks:
+                found = _tables(name, item, passage)
+                hits = [(d, i) for d, w in zip(batch["rid"], words) for i in found.cases(w)]
                 yield pd.DataFrame(hits, columns=[rid, item]).astype("int64")
 
-        part = spread(slim).mapInPandas(run, f"{rid} bigint, {item} bigint")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    slim = docs.select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text")).where("length(text) > 10")
+    return spread(slim).mapInPandas(run, f"{rid} bigint, {item} bigint").distinct()
