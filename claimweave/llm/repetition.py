@@ -1,8 +1,9 @@
 """Repetition: inside one document, and of lines across documents.
 
 `repetition` measures the share of words that lie in a run of ten words which began earlier in the same text. Each text
-is judged on its own: runs are hashed with a rolling sum over a batch, equal hashes are sorted together, and every hit is
-compared word by word with the first occurrence.
+is judged on its own: words get exact numbers, runs are hashed with a rolling sum over a batch, equal hashes are sorted
+together, and every hit is compared word by word with the first occurrence; where two different runs share a hash, the
+text is counted again by the runs themselves.
 
 `line_frequency` is the cross-document method: normalised lines are hashed, distinct documents are counted per host and
 line, lines above the limits are removed and documents that lose too much are rejected. It cannot tell repetition inside
@@ -48,13 +49,16 @@ def repeated_words(lists: list[list[str]]) -> np.ndarray:
     out = np.zeros(len(lists), dtype=np.int64)
     if total < RUN:
         return out
-    h = np.fromiter((hash(w) for x in lists for w in x), dtype=np.int64, count=total).view(np.uint64)
+    numbers: dict[str, int] = {}
+    h = np.fromiter((numbers.setdefault(w, len(numbers)) for x in lists for w in x), dtype=np.uint64, count=total)
     doc = np.repeat(np.arange(len(lists)), sizes)
     n = total - RUN + 1
     with np.errstate(over="ignore"):
         run = doc[:n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (h + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
         for k in range(RUN):
-            run += h[k : k + n] * _FACTORS[k]
+            run += mixed[k : k + n] * _FACTORS[k]
         run ^= run >> np.uint64(29)
     inside = np.flatnonzero(doc[:n] == doc[RUN - 1 :])
     order = inside[np.argsort(run[inside], kind="stable")]
@@ -67,17 +71,34 @@ def repeated_words(lists: list[list[str]]) -> np.ndarray:
     starts[fresh] = fresh
     first = order[np.maximum.accumulate(starts)[same]]
     later = order[same]
+    again: dict[int, int] = {}
     equal = doc[first] == doc[later]
     for k in range(RUN):
         equal &= h[first + k] == h[later + k]
+    for x in np.unique(doc[later[~equal]]):
+        again[int(x)] = _by_runs(lists[x])
     mark = np.zeros(total + 1, dtype=np.int64)
     np.add.at(mark, later[equal], 1)
     np.add.at(mark, later[equal] + RUN, -1)
     covered = np.cumsum(mark[:total]) > 0
     np.add.at(out, doc[covered], 1)
+    for x, hit in again.items():
+        out[x] = hit
     return out
 
 
+def _by_runs(words: list[str]) -> int:
+    """Repeated words of one text, by a set of its runs."""
+    seen: set[tuple[str, ...]] = set()
+    hit = bytearray(len(words))
+    for i in range(len(words) - RUN + 1):
+        run = tuple(words[i : i + RUN])
+        if run in seen:
+            hit[i : i + RUN] = b"\1" * RUN
+        seen.add(run)
+    return sum(hit)
+
+
 def repetition(docs: DataFrame, rid: str = "doc_id", text: str = "text") -> DataFrame:
     """rid, n_words, n_repeated, share of every document."""
 
