@@ -30,52 +30,57 @@ def same_repo_first(candidates: DataFrame, call: list[str]) -> DataFrame:
     return candidates.withColumn("_same", same).withColumn("_any", F.max("_same").over(w)).where("_same = _any").drop("_same", "_any")
 
 
-def match_http(calls: DataFrame, contracts: DataFrame, cap: int = CAP, exact: float = 0.95, template: float = 0.9, hops: Column | None = None) -> DataFrame:
+#: Stands for "no service named" in the keys of calls and contracts.
+ANY_SERVICE = "\u0001"
+
+
+def match_http(calls: DataFrame, contracts: DataFrame, cap: int = CAP, exact: float = 0.95, template: float = 0.9) -> DataFrame:
     """Calls (call_id, repo_id, method, template, service or null) with contracts (contract_id, repo_id, method, template, service).
 
     Methods are equal or the contract takes ANY; templates are equal up to the names of their parameters; a named service
-    must be the contract's. One row per matched contract, or one row per call that has none or too many."""
-    c = calls.select("call_id", "repo_id", keys.http_method(F.col("method")).alias("m"), F.col("template").alias("t"), "service").distinct()
-    c = materialize(c.withColumn("p", keys.positional(F.col("t"))))
-    own = contracts.select("contract_id", F.col("repo_id").alias("provider_repo"), F.upper("method").alias("method"), F.col("template").alias("ct"), F.col("service").alias("cs")).distinct().withColumn("p", keys.positional(F.col("ct")))
+    must be the contract's. One row per matched contract, or one row per call that has none or too many.
+
+    Contracts are grouped by key, and by key and repository, before they meet a call: counts, and lists where there are no
+    more than `cap`. A call meets one row of either, so no call or key ever has more rows than the cap."""
+    c = calls.select("call_id", "repo_id", keys.http_method(F.col("method")).alias("m"), F.col("template").alias("t"), F.coalesce("service", F.lit(ANY_SERVICE)).alias("s")).distinct()
+    c = c.withColumn("p", keys.positional(F.col("t")))
+    on = ["p", "m", "s"]
+    takes = F.when(F.upper("method") == "ANY", F.array(*[F.lit(x) for x in keys.METHODS])).otherwise(F.array(F.upper("method")))
+    own = contracts.select("contract_id", F.col("repo_id").alias("provider_repo"), F.col("template").alias("ct"), keys.positional(F.col("template")).alias("p"), F.explode(takes).alias("m"), F.array_compact(F.array(F.lit(ANY_SERVICE), F.col("service"))).alias("ss"))
+    own = own.withColumn("s", F.explode("ss")).groupBy(*on, "provider_repo", "contract_id").agg(F.collect_set("ct").alias("cts"))
     own = materialize(own)
-    with_service = _http_candidates(c.where("service is not null"), own, ["p", "m", "service"], cap)
-    without = _http_candidates(c.where("service is null"), own, ["p", "m"], cap)
-    hit = with_service.unionByName(without)
-    conf = F.when(F.col("outcome") == "matched", F.when(F.col("is_exact") == 1, exact).otherwise(template))
-    return hit.select("call_id", "repo_id", "contract_id", "provider_repo", conf.alias("confidence"), "n_contracts", "outcome")
-
-
-def _http_candidates(calls: DataFrame, own: DataFrame, on: list[str], cap: int) -> DataFrame:
-    """Contracts are counted per distinct key before any call is expanded; calls of keys beyond the cap are declined from the
-    counts, so a call never has more rows than the cap."""
-    wanted = calls.select(*on).distinct()
-    named = own.withColumn("service", F.col("cs")) if "service" in on else own
-    keyed = wanted.join(named, [x for x in on if x != "m"]).where((F.col("method") == F.col("m")) | (F.col("method") == "ANY"))
-    keyed = keyed.groupBy(*on, "contract_id", "provider_repo").agg(F.collect_set("ct").alias("cts"))
-    keyed = materialize(keyed)
-    every = keyed.groupBy(*on).agg(F.count_distinct("contract_id").alias("n_all"))
-    same = keyed.groupBy(*on, F.col("provider_repo").alias("repo_id")).agg(F.count_distinct("contract_id").alias("n_same"))
-    counted = calls.select("call_id", "repo_id", "t", *on).join(every, on, "left").join(same, [*on, "repo_id"], "left")
+    every = own.groupBy(*on, "contract_id").agg(F.min("provider_repo").alias("provider_repo"), F.array_distinct(F.flatten(F.collect_list("cts"))).alias("cts"))
+    listed = _listed(every, on, cap).withColumnsRenamed({"n": "n_all", "l": "l_all"})
+    inside = _listed(own, [*on, "provider_repo"], cap).withColumnsRenamed({"n": "n_same", "l": "l_same", "provider_repo": "repo_id"})
+    j = c.join(inside, [*on, "repo_id"], "left").join(listed, on, "left")
     n = F.coalesce("n_same", "n_all", F.lit(0)).cast("bigint")
-    counted = counted.withColumn("n_contracts", n).withColumn("outcome", F.when(n == 0, "unmatched").when(n > cap, "fanout").otherwise("matched"))
-    few = keyed.join(every.where(F.col("n_all") <= cap), on, "left_semi")
-    inside = counted.where("outcome = 'matched' and n_same is not null").join(keyed.withColumn("repo_id", F.col("provider_repo")), [*on, "repo_id"])
-    outside = counted.where("outcome = 'matched' and n_same is null").join(few, on)
-    hit = inside.unionByName(outside.select(*inside.columns)).groupBy("call_id", "repo_id", "contract_id", "n_contracts", "outcome").agg(F.max(F.array_contains("cts", F.col("t")).cast("int")).alias("is_exact"), F.min("provider_repo").alias("provider_repo"))
-    none = counted.where("outcome <> 'matched'").select("call_id", "repo_id", F.lit(None).cast("string").alias("contract_id"), "n_contracts", "outcome", F.lit(0).alias("is_exact"), F.lit(None).cast("string").alias("provider_repo"))
-    return hit.unionByName(none)
+    chosen = F.when(F.col("n_same").isNotNull(), F.col("l_same")).otherwise(F.col("l_all"))
+    outcome = F.when(n == 0, "unmatched").when(n > cap, "fanout").otherwise("matched")
+    rows = j.select("call_id", "repo_id", "t", n.alias("n_contracts"), outcome.alias("outcome"), F.explode_outer(chosen).alias("x"))
+    conf = F.when(F.col("x").isNotNull(), F.when(F.array_contains("x.cts", F.col("t")), exact).otherwise(template))
+    return rows.select("call_id", "repo_id", "x.contract_id", "x.provider_repo", conf.alias("confidence"), "n_contracts", "outcome")
+
+
+def _listed(rows: DataFrame, on: list[str], cap: int) -> DataFrame:
+    """Per key the number of contracts (n) and, up to `cap` of them, the list l."""
+    counted = rows.groupBy(*on).agg(F.count("*").alias("n"))
+    few = rows.join(counted.where(F.col("n") <= cap), on, "left_semi")
+    lists = few.groupBy(*on).agg(F.collect_list(F.struct("contract_id", "provider_repo", "cts")).alias("l"))
+    return counted.join(lists, on, "left")
 
 
 def match_grpc(stubs: DataFrame, operations: DataFrame, cap: int = CAP) -> DataFrame:
-    """Client stubs (call_id, service) with operations (op_id, package, service, rpc): by full or bare service name."""
+    """Client stubs (call_id, service) with operations (op_id, package, service, rpc): by full or bare service name.
+
+    Operations are counted per name first; a stub of a name beyond the cap is declined from the count."""
     full = F.lower(F.concat_ws(".", F.nullif("package", F.lit("")), "service"))
     names = operations.select("op_id", F.explode(F.array_distinct(F.array(full, F.lower("service")))).alias("name")).distinct()
-    hit = stubs.select("call_id", F.lower("service").alias("name")).distinct().join(names, "name").select("call_id", "op_id").distinct()
-    n = hit.groupBy("call_id").agg(F.count("*").alias("n"))
-    alls = stubs.select("call_id").distinct().join(n, "call_id", "left")
-    outcome = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > cap, "fanout").otherwise("matched")
-    return alls.withColumn("outcome", outcome).join(hit, "call_id", "left").select("call_id", F.when(F.col("outcome") == "matched", F.col("op_id")).alias("op_id"), "outcome").distinct()
+    counted = names.groupBy("name").agg(F.count("*").alias("per_name"))
+    lists = names.join(counted.where(F.col("per_name") <= cap), "name", "left_semi").groupBy("name").agg(F.collect_list("op_id").alias("ops"))
+    j = stubs.select("call_id", F.lower("service").alias("name")).distinct().join(counted.join(lists, "name", "left"), "name", "left")
+    one = j.groupBy("call_id").agg(F.max("per_name").alias("most"), F.array_distinct(F.flatten(F.collect_list("ops"))).alias("ops"))
+    outcome = F.when(F.col("most").isNull(), "unmatched").when((F.col("most") > cap) | (F.size("ops") > cap), "fanout").otherwise("matched")
+    return one.select("call_id", F.explode_outer(F.when(outcome == "matched", F.col("ops"))).alias("op_id"), outcome.alias("outcome"))
 
 
 def match_graphql(consumers: DataFrame, providers: DataFrame, federated: float = 0.95, field: float = 0.8) -> DataFrame:
@@ -119,21 +124,29 @@ def match_datasets(claims: DataFrame) -> DataFrame:
     return j.select(F.col("repo_id").alias("source_id"), kind.alias("type"), "key", F.when(open_, F.concat(F.lit("global:Data:"), "key")).alias("target_id"), "owner", F.when(open_, "matched").otherwise("ambiguous").alias("outcome"))
 
 
+def _single(rid: str, low: str, high: str, target: str, rows: DataFrame) -> DataFrame:
+    """rid, target, outcome from the smallest and largest target of each row: equal ends are the one target."""
+    g = rows.groupBy(rid).agg(F.min(low).alias("_lo"), F.max(high).alias("_hi"))
+    outcome = F.when(F.col("_lo").isNull(), "unmatched").when(F.col("_lo") != F.col("_hi"), "ambiguous").otherwise("matched")
+    return g.select(rid, F.when(outcome == "matched", F.col("_lo")).alias(target), outcome.alias("outcome"))
+
+
 def env_calls(reads: DataFrame, values: DataFrame) -> DataFrame:
     """Reads of variables (read_id, repo_id, name) over values (repo_id, name, host): values of the own repository first; one
-    distinct host resolves."""
-    j = reads.alias("r").join(values.alias("v"), F.col("r.name") == F.col("v.name")).select("r.read_id", "r.repo_id", F.col("v.repo_id").alias("provider_repo"), "v.host").distinct()
-    g = same_repo_first(j, ["read_id"]).groupBy("read_id").agg(F.count_distinct("host").alias("n"), F.min("host").alias("only"))
-    out = reads.select("read_id").distinct().join(g, "read_id", "left")
-    return out.select("read_id", F.when(F.col("n") == 1, F.col("only")).alias("host"), F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("matched").alias("outcome"))
+    distinct host resolves. Values are reduced per name, and per name and repository, before a read meets them."""
+    ends = lambda p: (F.min("host").alias(f"{p}lo"), F.max("host").alias(f"{p}hi"))
+    v = values.where("host is not null")
+    j = reads.select("read_id", "repo_id", "name").distinct().join(v.groupBy("name", "repo_id").agg(*ends("s")), ["name", "repo_id"], "left").join(v.groupBy("name").agg(*ends("a")), "name", "left")
+    own = j.groupBy("read_id").agg(F.min("slo").alias("slo"), F.max("shi").alias("shi"), F.min("alo").alias("alo"), F.max("ahi").alias("ahi"))
+    near = F.col("slo").isNotNull()
+    return _single("read_id", "lo", "hi", "host", own.select("read_id", F.when(near, F.col("slo")).otherwise(F.col("alo")).alias("lo"), F.when(near, F.col("shi")).otherwise(F.col("ahi")).alias("hi")))
 
 
 def exactly_one(left: DataFrame, right: DataFrame, on: list[str], rid: str, target: str) -> DataFrame:
     """Left rows (rid) joined to right rows (target) on equal columns; only a single distinct target is taken. The rule of
-    webhooks, of operations bound to HTTP routes and of event schemas."""
-    hit = left.select(rid, *on).distinct().join(right.select(target, *on).distinct(), on).groupBy(rid).agg(F.count_distinct(target).alias("n"), F.min(target).alias("only"))
-    out = left.select(rid).distinct().join(hit, rid, "left")
-    return out.select(rid, F.when(F.col("n") == 1, F.col("only")).alias(target), F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("matched").alias("outcome"))
+    webhooks, of operations bound to HTTP routes and of event schemas. Targets are reduced per key before the join."""
+    ends = right.where(F.col(target).isNotNull()).groupBy(*on).agg(F.min(target).alias("_a"), F.max(target).alias("_b"))
+    return _single(rid, "_a", "_b", target, left.select(rid, *on).distinct().join(ends, on, "left"))
 
 
 def match_tools(consumers: DataFrame, tools: DataFrame, cap: int = CAP) -> DataFrame:
@@ -220,8 +233,11 @@ def alias_suggestions(hints: DataFrame, services: DataFrame, most: int = 3) -> D
     candidates, outcome (suggested, ambiguous, none)."""
     forms = lambda c: F.array_distinct(F.array(keys.squash(c), keys.squash(F.regexp_replace(c, "-(service|svc|api|server)$", "")), keys.squash(F.substring_index(c, ".", 1))))
     s = services.select("name", F.explode(forms(F.col("name"))).alias("form")).where("form <> ''").distinct()
+    # The first names of a form are enough: what is shown, one that may be the hint itself, and one more.
+    first = s.withColumn("_r", F.row_number().over(Window.partitionBy("form").orderBy("name"))).where(F.col("_r") <= most + 2)
+    first = first.groupBy("form").agg(F.collect_list("name").alias("names"))
     h = hints.select("hint", "n", F.explode(forms(F.col("hint"))).alias("form")).where("form <> ''").distinct()
-    g = h.join(s, "form").where("hint <> name").groupBy("hint").agg(F.array_sort(F.collect_set("name")).alias("c"))
+    g = h.join(first, "form").select("hint", F.explode("names").alias("name")).where("hint <> name").groupBy("hint").agg(F.array_sort(F.collect_set("name")).alias("c"))
     j = hints.select("hint", "n").distinct().join(g, "hint", "left")
     return j.select("hint", "n", F.array_join(F.slice(F.coalesce("c", F.array().cast("array<string>")), 1, most), ",").alias("candidates"), F.when(F.col("c").isNull(), "none").when(F.size("c") == 1, "suggested").otherwise("ambiguous").alias("outcome"))
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.runtime import ship_package
 from claimweave.sources.extract import LANGUAGES, file_language
 
 Hit = tuple[str, int, str, str, str]
@@ -363,6 +364,7 @@ def extract(files: DataFrame) -> DataFrame:
                     out.append((repo, path, "error", 1, type(e).__name__, "", ""))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
+    ship_package(files.sparkSession)
     return files.select("repo_id", "path", "name", "language", "content").where("content is not null").mapInPandas(run, SCHEMA)
 
 
@@ -377,14 +379,17 @@ def coverage(files: DataFrame, hits: DataFrame) -> DataFrame:
 
 def call_graph(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """Callee of call sites (site_id, repo_id, path, line, callee) among symbols (repo_id, path, name, start, end): the smallest
-    symbol around the site is the caller; a callee of the same file goes before others, the nearest one first."""
+    symbol around the site is the caller. A callee of the same file goes before others, the nearest one first; among
+    other files, where distance says nothing, the first by path and line. Symbols of other files are reduced per name and
+    repository before a site meets them, so a name that everything uses makes no pairs."""
     from pyspark.sql import Window
 
     around = sites.join(symbols.select("repo_id", "path", F.col("name").alias("caller"), "start", "end"), ["repo_id", "path"], "left").where(F.col("start").isNull() | F.col("line").between(F.col("start"), F.col("end")))
     caller = around.withColumn("_r", F.row_number().over(Window.partitionBy("site_id").orderBy(F.col("end") - F.col("start"), "caller"))).where("_r = 1").select("site_id", "caller")
-    named = sites.join(symbols.select("repo_id", F.col("path").alias("callee_path"), F.col("name").alias("callee"), F.col("start").alias("at")), ["repo_id", "callee"])
-    w = Window.partitionBy("site_id")
-    best = named.withColumns({"same": (F.col("path") == F.col("callee_path")).cast("int")}).withColumns({"_m": F.max("same").over(w)}).where("same = _m").withColumn("n", F.count("*").over(w))
-    one = best.withColumn("_r", F.row_number().over(w.orderBy(F.abs(F.col("line") - F.col("at")), "callee_path", "at"))).where("_r = 1")
-    hit = one.select("site_id", "callee_path", F.when(F.col("n") == 1, 0.9).otherwise(0.7).alias("confidence"))
+    named = symbols.select("repo_id", "path", F.col("name").alias("callee"), F.col("start").alias("at"))
+    here = sites.join(named, ["repo_id", "path", "callee"]).groupBy("site_id").agg(F.min(F.struct(F.abs(F.col("line") - F.col("at")).alias("d"), "path", "at")).alias("h"), F.count("*").alias("n_here"))
+    there = named.groupBy("repo_id", "callee").agg(F.min(F.struct("path", "at")).alias("t"), F.count("*").alias("n_there"))
+    hit = sites.select("site_id", "repo_id", "callee").distinct().join(here, "site_id", "left").join(there, ["repo_id", "callee"], "left")
+    n = F.coalesce("n_here", "n_there")
+    hit = hit.where(n.isNotNull()).select("site_id", F.coalesce("h.path", "t.path").alias("callee_path"), F.when(n == 1, 0.9).otherwise(0.7).alias("confidence"))
     return sites.select("site_id", "callee").distinct().join(caller, "site_id", "left").join(hit, "site_id", "left")
