@@ -53,15 +53,21 @@ def at_least(edges: DataFrame, confidence: float, bound: bool = False) -> DataFr
     return edges.where(c >= confidence)
 
 
-def fuse(edges: DataFrame, cap: float = FUSION_CAP) -> DataFrame:
-    """One row per (source, type, target): noisy-or over the best of each detector; single rows pass uncapped.
+def fuse(edges: DataFrame, cap: float = FUSION_CAP, correlated: dict[str, str] | None = None) -> DataFrame:
+    """One row per (source, type, target): noisy-or over the best of each detector; single rows pass uncapped. Detectors of
+    one group of `correlated` see the same fact: only the best of the group counts.
 
     Two-level aggregation, so a pair with a third of all rows combines on the map side."""
     key = ["source_id", "type", "target_id"]
-    groups = edges.groupBy(*key, "detected_by").agg(F.max("confidence").alias("c"), F.count("*").alias("n"))
+    table = F.create_map(*[F.lit(x) for kv in correlated.items() for x in kv]) if correlated else None
+    group = F.coalesce(table[F.col("detected_by")], "detected_by") if correlated else F.col("detected_by")
+    groups = edges.groupBy(*key, group.alias("_group"), "detected_by").agg(F.max("confidence").alias("c"), F.count("*").alias("n"))
+    if correlated:
+        groups = groups.groupBy(*key, "_group").agg(F.max("c").alias("c"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("detected_by")), "+").alias("detected_by"))
     fused = groups.groupBy(*key).agg(F.sum("n").alias("n_rows"), F.max("c").alias("best"), F.product(1 - F.col("c")).alias("miss"), F.array_join(F.array_sort(F.collect_set(F.nullif("detected_by", F.lit("")))), "+").alias("detected_by"))
     conf = F.when(F.col("n_rows") == 1, F.col("best")).otherwise(F.least(F.lit(cap), 1 - F.col("miss")))
-    return fused.select(*key, "n_rows", conf.alias("confidence"), "detected_by")
+    names = F.array_join(F.array_sort(F.split("detected_by", r"\+")), "+") if correlated else F.col("detected_by")
+    return fused.select(*key, "n_rows", conf.alias("confidence"), names.alias("detected_by"))
 
 
 def with_floor(edges: DataFrame, floor: float = FLOOR) -> DataFrame:

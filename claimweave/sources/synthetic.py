@@ -27,3 +27,23 @@ def planted_recall(found: DataFrame, planted: DataFrame) -> DataFrame:
     j = f.join(p, ["consumer", "provider"], "full")
     n = lambda c: F.count(F.when(c, 1))
     return j.agg(n(F.col("p").isNotNull()).alias("n_planted"), n(F.col("f").isNotNull()).alias("n_found"), n(F.col("f").isNull()).alias("n_missed"), n(F.col("p").isNull()).alias("n_invented"))
+
+
+def estate_claims(spark: SparkSession, services: int, calls: int = 3, hot_share: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Claims of a whole estate in the shape that a link run takes, and the planted pairs (consumer, provider) as service
+    names: each service is built from its repository, exposes one operation and calls those of its planted providers."""
+    pairs, planted = estate(spark, services, calls, hot_share)
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1)
+    own = pairs.where("direction = 'provides'")
+    none = F.lit(None).cast("string")
+
+    def claim(df: DataFrame, kind: str, direction: str, key, hint, path, attrs) -> DataFrame:
+        return df.select(F.concat_ws(":", "repo_id", F.lit(kind), F.lit(direction), key).alias("id"), "repo_id", F.lit(kind).alias("kind"), F.lit(direction).alias("direction"), key.alias("key"), hint.alias("hint"), F.lit(path).alias("path"), F.lit(1).alias("line"), attrs.alias("attrs"), none.alias("node_id"))
+
+    no = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    route = lambda c: F.concat(F.lit("GET:/items"), number(c), F.lit("/{id}"))
+    names = claim(own, "svcname", "provides", F.concat(F.lit("default:"), "key"), none, "compose.yml", F.create_map(F.lit("source"), F.lit("compose"), F.lit("build_context"), F.lit(".")))
+    shown = claim(own, "http", "provides", route("key"), none, "src/routes.py", no)
+    used = claim(pairs.where("direction = 'consumes'"), "http", "consumes", F.concat(F.lit("httpcall:"), route("key")), F.col("key"), "src/client.py", no)
+    name = lambda c: F.concat(F.lit("svc-"), number(c)).alias(c)
+    return names.unionByName(shown).unionByName(used), planted.select(name("consumer"), name("provider"))
