@@ -7,15 +7,19 @@ resolver gives and remove edges, but never add any.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.operators import graph, traverse
+from claimweave.operators import graph, reports, traverse
+from claimweave.operators.control import Control
+from claimweave.operators.linker import Linker
 from claimweave.runtime import materialize
+from claimweave.sources.artifacts import digest
 
 Resolver = Callable[[DataFrame], DataFrame]
 PHASES = ("broadcast", "join")
@@ -54,6 +58,10 @@ class Answer:
         return json.dumps(asdict(self), sort_keys=True, default=str)
 
 
+def _wants_edges(resolver: Resolver) -> bool:
+    return len(inspect.signature(resolver).parameters) > 1
+
+
 class Registry:
     def __init__(self) -> None:
         self.resolvers: list[tuple[int, str, str, Resolver]] = []
@@ -69,15 +77,16 @@ class Registry:
         if any(n == name for _, _, n, _ in self.resolvers):
             raise ValueError(f"{name} is registered twice")
         self.resolvers.append((precedence, phase, name, resolver))
-        self.resolvers.sort(key=lambda r: r[:3])
+        self.resolvers.sort(key=lambda r: (PHASES.index(r[1]), r[0], r[2]))
 
     def link(self, claims: DataFrame) -> DataFrame:
-        """Edges of all resolvers in order of precedence; every edge names its resolver in detected_by."""
+        """Edges of all resolvers, phase by phase and in order of precedence; every edge names its resolver in detected_by. A
+        resolver of the join phase that takes two arguments also gets the edges of the broadcast phase."""
         out = None
-        for _, _, name, resolver in self.resolvers:
+        for _, phase, name, resolver in self.resolvers:
             for hook in self.pre:
                 self._observe(hook, name, claims)
-            edges = resolver(claims).withColumn("detected_by", F.lit(name))
+            edges = (resolver(claims, out) if phase == "join" and _wants_edges(resolver) else resolver(claims)).withColumn("detected_by", F.lit(name))
             for hook in self.post:
                 try:
                     kept = hook(name, edges)
@@ -102,11 +111,28 @@ class Registry:
 class Engine:
     def __init__(self, nodes: DataFrame, edges: DataFrame, config: Config | None = None):
         self.config = config or Config()
+        self.raw: DataFrame | None = None
+        self._digest: str | None = None
         self.nodes = nodes.distinct()
         self.edges = materialize(graph.with_defaults(edges))
         self.nodes.createOrReplaceTempView("claimweave_nodes")
         self.edges.createOrReplaceTempView("claimweave_edges")
 
+    @classmethod
+    def of_claims(cls, claims: DataFrame, nodes: DataFrame, config: Config | None = None, control: Control | None = None) -> Engine:
+        """An engine over the edges of a link run; floor, cap of fused confidences and fan-out cap come from the config."""
+        config = config or Config()
+        control = replace(control or Control(), floor=config.floor, fusion_cap=config.fusion_cap, fanout_cap=config.fanout_cap)
+        linked = Linker(claims, control)
+        out = cls(nodes, linked.edges(), config)
+        out.raw = linked.raw
+        return out
+
+    def explain(self, source_id: str, kind: str, target_id: str, limit: int = 100) -> Answer:
+        """The rows that an edge was fused from, the surest first; edges that were not linked here stand for themselves."""
+        rows = reports.derivation(self.raw, source_id, kind, target_id) if self.raw is not None else self.edges.where((F.col("source_id") == source_id) & (F.col("type") == kind) & (F.col("target_id") == target_id)).select("confidence")
+        return self._bounded(rows, limit, F.col("confidence").desc())
+
     def fused(self) -> DataFrame:
         e = graph.fuse(graph.active(self.edges), self.config.fusion_cap).withColumn("status", F.lit("active"))
         return graph.with_floor(e, self.config.floor)
@@ -170,8 +196,11 @@ class Engine:
         return graph.dead_endpoints(self.edges)
 
     def snapshot(self) -> str:
-        """Digest of what the answers rest on: settings and the columns of the graph."""
-        return hashlib.sha256(json.dumps({"config": asdict(self.config), "nodes": sorted(self.nodes.columns), "edges": sorted(self.edges.columns)}, sort_keys=True).encode()).hexdigest()[:16]
+        """Digest of what the answers rest on: settings, nodes and edges, whatever their order; taken once."""
+        if self._digest is None:
+            parts = {"config": asdict(self.config), "nodes": digest(self.nodes), "edges": digest(self.edges)}
+            self._digest = hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:16]
+        return self._digest
 
     def _bounded(self, rows: DataFrame, limit: int, *order) -> Answer:
         total = rows.count()

@@ -11,9 +11,15 @@ METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "ANY")
 GENERIC_NAMES = ("app", "api", "server", "service", "web", "main", "backend", "frontend", "worker", "gateway")
 #: Ecosystem names and their package-URL types (fixed values).
 ECOSYSTEMS = {"npm": "npm", "yarn": "npm", "pnpm": "npm", "pip": "pypi", "pypi": "pypi", "poetry": "pypi", "maven": "maven", "gradle": "maven", "go": "golang", "golang": "golang", "cargo": "cargo", "composer": "composer", "gem": "gem", "rubygems": "gem", "nuget": "nuget"}
+#: Host labels that mean the inside of a cluster or network (fixed values).
+INTERNAL_TAILS = ("local", "internal", "svc", "cluster", "localdomain", "lan", "intranet")
+#: Suffixes that services are named with or without (fixed values).
+NAME_SUFFIXES = ("service", "server", "svc", "srv", "api", "app")
 #: Directories that hold modules, and directories that are no module (fixed values).
-CONTAINER_DIRS = ("services", "apps", "packages", "modules", "libs", "cmd", "pkg", "internal", "projects")
-INFRA_DIRS = (".github", "docs", "doc", "deploy", "deployment", "charts", "helm", "k8s", "infra", "terraform", "scripts", "test", "tests", "config")
+CONTAINER_DIRS = ("projects", "services", "apps", "packages", "modules", "libs", "components", "cmd", "src")
+INFRA_DIRS = ("deploy", "deployment", "deployments", "docker", "dockerfiles", "k8s", "kubernetes", "kube", "manifests", "manifest",
+ "chart", "charts", "helm", "helmfile", "kustomize", "overlays", "infra", "infrastructure", "terraform", "tf", "ansible",
+ "ops", "argocd", "flux", "skaffold", "compose", "ci", "build", "scripts", "config", "configs", "etc", "env", "environments", ".github", ".gitlab", ".circleci")
 
 
 def path_template(path: Column) -> Column:
@@ -42,14 +48,19 @@ def squash(name: Column) -> Column:
     return F.translate(F.lower(name), "-_.", "")
 
 
+def bare_name(name: Column) -> Column:
+    """The squashed name without a service suffix; a name that is nothing else keeps it."""
+    return F.regexp_replace(squash(name), "^(.+)(?:" + "|".join(NAME_SUFFIXES) + ")$", "$1")
+
+
 def is_generic(name: Column) -> Column:
     return F.coalesce(F.lower(F.trim(name)).isin(*GENERIC_NAMES), F.lit(False))
 
 
 def purl(ecosystem: Column, name: Column) -> Column:
-    """Package URL without version; names fold case where their registry does, `_` is `-` for pypi."""
+    """Package URL without version; unknown ecosystems are generic; names fold case where their registry does, `_` is `-` for pypi."""
     table = F.create_map(*[F.lit(x) for kv in ECOSYSTEMS.items() for x in kv])
-    eco = F.coalesce(table[F.lower(ecosystem)], F.lower(ecosystem))
+    eco = F.coalesce(table[F.lower(ecosystem)], F.lit("generic"))
     n = F.when(eco == "pypi", F.translate(F.lower(name), "_", "-")).when(eco.isin("nuget", "gem", "golang"), F.lower(name)).otherwise(name)
     return F.concat(F.lit("pkg:"), eco, F.lit("/"), F.when(eco == "maven", F.translate(n, ":", "/")).otherwise(n))
 
@@ -118,8 +129,8 @@ def safe_path(path: Column) -> Column:
 
 def module_of(path: Column) -> Column:
     """The module a file lies in: '' for files of the root and of infrastructure, two segments below container directories."""
-    p = F.split(path, "/")
-    return F.when(F.size(p) < 2, "").when(p[0].isin(*CONTAINER_DIRS), F.when(F.size(p) > 2, F.concat_ws("/", p[0], p[1])).otherwise(p[0])).when(p[0].isin(*INFRA_DIRS), "").otherwise(p[0])
+    p = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.when(F.size(p) < 2, "").when(p[0].isin(*CONTAINER_DIRS) & (F.size(p) > 2), F.concat_ws("/", p[0], p[1])).when(F.lower(p[0]).isin(*INFRA_DIRS), "").otherwise(p[0])
 
 
 def domain_of(name: Column) -> Column:
@@ -158,5 +169,5 @@ def url_class(url: Column) -> Column:
 def looks_external(host: Column) -> Column:
     """Two labels or more, none after the first internal, and a top-level domain of letters."""
     labels = F.split(F.lower(host), r"\.")
-    inside = F.arrays_overlap(F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(1))), F.array(*[F.lit(x) for x in ("svc", "local", "internal", "cluster", "localhost", "consul", "lan")]))
+    inside = F.arrays_overlap(F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(1))), F.array(*[F.lit(x) for x in INTERNAL_TAILS]))
     return F.coalesce((F.size(labels) >= 2) & F.element_at(labels, -1).rlike(r"^[a-z]{2,}$") & ~inside, F.lit(False))

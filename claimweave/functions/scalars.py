@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
 #: Markers of a name that holds a secret (fixed values).
-SECRET_MARKERS = ("PASSWORD", "PASSWD", "SECRET", "TOKEN", "APIKEY", "API_KEY", "PRIVATE_KEY", "CREDENTIAL", "ACCESS_KEY")
+SECRET_MARKERS = ("SECRET", "TOKEN", "PASSWORD", "PASSWD", "API_KEY", "APIKEY", "PRIVATE", "CREDENTIAL", "AUTH")
 
 
 def hmac16(value: Column, key: str) -> Column:

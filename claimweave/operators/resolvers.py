@@ -231,7 +231,7 @@ def service_clusters(provided: DataFrame) -> DataFrame:
 def alias_suggestions(hints: DataFrame, services: DataFrame, most: int = 3) -> DataFrame:
     """Unmatched hints (hint, n) against service names in equal squashed, suffix-free or first-label form: hint, n,
     candidates, outcome (suggested, ambiguous, none)."""
-    forms = lambda c: F.array_distinct(F.array(keys.squash(c), keys.squash(F.regexp_replace(c, "-(service|svc|api|server)$", "")), keys.squash(F.substring_index(c, ".", 1))))
+    forms = lambda c: F.array_distinct(F.array(keys.squash(c), keys.bare_name(c), keys.bare_name(F.substring_index(c, ".", 1))))
     s = services.select("name", F.explode(forms(F.col("name"))).alias("form")).where("form <> ''").distinct()
     # The first names of a form are enough: what is shown, one that may be the hint itself, and one more.
     first = s.withColumn("_r", F.row_number().over(Window.partitionBy("form").orderBy("name"))).where(F.col("_r") <= most + 2)

@@ -65,7 +65,7 @@ def C6_internal_libraries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {ENV} SELECT lower({HOST}) AS host, count(*) AS n, CASE WHEN len(str_split(lower({HOST}), '.')) >= 2 AND regexp_matches(list_extract(str_split(lower({HOST}), '.'), -1), '^[a-z]{{2,}}$')
- AND NOT list_has_any(list_slice(str_split(lower({HOST}), '.'), 2, NULL), ['svc', 'local', 'internal', 'cluster', 'localhost', 'consul', 'lan']) THEN 1 ELSE 0 END AS is_external FROM env WHERE {HOST} <> '' GROUP BY ALL""")
+ AND NOT list_has_any(list_slice(str_split(lower({HOST}), '.'), 2, NULL), ['local', 'internal', 'svc', 'cluster', 'localdomain', 'lan', 'intranet']) THEN 1 ELSE 0 END AS is_external FROM env WHERE {HOST} <> '' GROUP BY ALL""")
 def D9_external_hosts(spark: SparkSession, d: str) -> DataFrame:
     h = env(spark, d).select(F.lower(F.regexp_extract("value", r"^https?://([^/:?#@]+)", 1)).alias("host")).where("host <> ''")
     return h.groupBy("host").agg(F.count("*").alias("n")).select("host", "n", keys.looks_external(F.col("host")).cast("int").alias("is_external"))
@@ -107,8 +107,8 @@ def E42_config_ownership(spark: SparkSession, d: str) -> DataFrame:
     return j.select("name", zero("n_defining"), zero("n_reading"), F.col("n_defining").isNull().cast("bigint").alias("orphaned"))
 
 
-@query("""WITH m AS (SELECT DISTINCT lower(trim(name)) AS service, CASE WHEN len(str_split(file_path, '/')) < 2 THEN '' WHEN str_split(file_path, '/')[1] IN ('services', 'apps', 'packages', 'modules', 'libs', 'cmd', 'pkg', 'internal', 'projects') THEN CASE WHEN len(str_split(file_path, '/')) > 2 THEN str_split(file_path, '/')[1] || '/' || str_split(file_path, '/')[2] ELSE str_split(file_path, '/')[1] END
- WHEN str_split(file_path, '/')[1] IN ('.github', 'docs', 'doc', 'deploy', 'deployment', 'charts', 'helm', 'k8s', 'infra', 'terraform', 'scripts', 'test', 'tests', 'config') THEN '' ELSE str_split(file_path, '/')[1] END AS module FROM docker_resources WHERE trim(coalesce(name, '')) <> '')
+@query("""WITH m AS (SELECT DISTINCT lower(trim(name)) AS service, CASE WHEN len(str_split(file_path, '/')) < 2 THEN '' WHEN str_split(file_path, '/')[1] IN ('projects', 'services', 'apps', 'packages', 'modules', 'libs', 'components', 'cmd', 'src') THEN CASE WHEN len(str_split(file_path, '/')) > 2 THEN str_split(file_path, '/')[1] || '/' || str_split(file_path, '/')[2] ELSE str_split(file_path, '/')[1] END
+ WHEN str_split(file_path, '/')[1] IN ('deploy', 'deployment', 'deployments', 'docker', 'dockerfiles', 'k8s', 'kubernetes', 'kube', 'manifests', 'manifest', 'chart', 'charts', 'helm', 'helmfile', 'kustomize', 'overlays', 'infra', 'infrastructure', 'terraform', 'tf', 'ansible', 'ops', 'argocd', 'flux', 'skaffold', 'compose', 'ci', 'build', 'scripts', 'config', 'configs', 'etc', 'env', 'environments', '.github', '.gitlab', '.circleci') THEN '' ELSE str_split(file_path, '/')[1] END AS module FROM docker_resources WHERE trim(coalesce(name, '')) <> '')
  SELECT service, CASE WHEN count(*) FILTER (module <> '') = 1 THEN max(module) END AS module, count(*) FILTER (module <> '') AS n_modules FROM m GROUP BY service""")
 def E15_service_modules(spark: SparkSession, d: str) -> DataFrame:
     """The one module a service is declared in; none or several decline."""
@@ -125,8 +125,8 @@ def E13_service_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {DOCKER_CLAIMS}, s AS (SELECT DISTINCT key AS name FROM claims WHERE kind = 'svcname' AND direction = 'provides'), h AS (SELECT key AS hint, count(*) AS n FROM claims WHERE kind = 'svcname' AND direction = 'consumes' AND key NOT IN (SELECT name FROM s) GROUP BY key),
- fs AS (SELECT DISTINCT name, unnest([translate(name, '-_.', ''), translate(regexp_replace(name, '-(service|svc|api|server)$', ''), '-_.', ''), translate(split_part(name, '.', 1), '-_.', '')]) AS form FROM s),
- fh AS (SELECT DISTINCT hint, unnest([translate(hint, '-_.', ''), translate(regexp_replace(hint, '-(service|svc|api|server)$', ''), '-_.', ''), translate(split_part(hint, '.', 1), '-_.', '')]) AS form FROM h),
+ fs AS (SELECT DISTINCT name, unnest([translate(name, '-_.', ''), regexp_replace(translate(name, '-_.', ''), '^(.+)(service|server|svc|srv|api|app)$', '\\1'), regexp_replace(translate(split_part(name, '.', 1), '-_.', ''), '^(.+)(service|server|svc|srv|api|app)$', '\\1')]) AS form FROM s),
+ fh AS (SELECT DISTINCT hint, unnest([translate(hint, '-_.', ''), regexp_replace(translate(hint, '-_.', ''), '^(.+)(service|server|svc|srv|api|app)$', '\\1'), regexp_replace(translate(split_part(hint, '.', 1), '-_.', ''), '^(.+)(service|server|svc|srv|api|app)$', '\\1')]) AS form FROM h),
  g AS (SELECT hint, list_sort(list(DISTINCT name)) AS c FROM fh JOIN fs USING (form) WHERE form <> '' AND hint <> name GROUP BY hint)
  SELECT h.hint, n, coalesce(array_to_string(list_slice(c, 1, 3), ','), '') AS candidates, CASE WHEN c IS NULL THEN 'none' WHEN len(c) = 1 THEN 'suggested' ELSE 'ambiguous' END AS outcome FROM h LEFT JOIN g ON g.hint = h.hint""")
 def H9_alias_suggestions(spark: SparkSession, d: str) -> DataFrame:

@@ -33,7 +33,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT repo_id, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext, count(DISTINCT file_id) AS n_files, CAST(sum(length(content)) AS BIGINT) AS n_chars
- FROM (SELECT DISTINCT * FROM files) WHERE content IS NOT NULL AND length(content) <= 1000000 AND NOT regexp_matches(path, '(^|/)(\\.git|node_modules|vendor|dist|build|target|__pycache__)/')
+ FROM (SELECT DISTINCT * FROM files) WHERE content IS NOT NULL AND length(content) <= 1000000 AND NOT regexp_matches(path, '(^|/)(\\.git|node_modules|target|build|dist|\\.next|\\.venv|venv|__pycache__|\\.idea|\\.vscode|coverage|\\.pytest_cache|\\.gradle|\\.mvn|out|bin|obj|vendor|[^/]*\\.egg-info|\\.tox|\\.eggs|htmlcov|\\.coverage)/')
  GROUP BY ALL""")
 def A1_scan_files(spark: SparkSession, d: str) -> DataFrame:
     """Directory scan: ignored directories and files over 1 MB drop out; extension from the name."""
@@ -103,18 +103,13 @@ def B30_config_keys(spark: SparkSession, d: str) -> DataFrame:
     return properties(f).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("n_files"))
 
 
-@query("""WITH m AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, '"node_modules/([^"]+)":\\s*\\{\\s*"version":\\s*"[^"]*"', 1)) AS name FROM files WHERE lower(name) = 'package-lock.json')
+@query("""WITH m AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, '"node_modules/([^"]+)":\\s*\\{\\s*"version":\\s*"[^"]*"', 1)) AS name FROM files WHERE lower(name) = 'package-lock.json'
+ UNION SELECT repo_id, unnest(regexp_extract_all(content, 'name = "([^"]+)"\\s+version = "[^"]*"', 1)) FROM files WHERE lower(name) = 'yarn.lock')
  SELECT name, count(*) AS n_repos FROM m GROUP BY name""")
 def B31_lockfile_packages(spark: SparkSession, d: str) -> DataFrame:
-    """Packages that npm lock files resolve."""
+    """Packages that lock files of the npm ecosystem resolve: every row of the operator."""
     libs = resolve.library_claims(table(spark, d, "files", "repo_id", "name", "content")).where(F.col("ecosystem") == "npm")
-    locks = libs.join(_npm_names(spark, d), ["repo_id", "name"], "left_semi")
-    return locks.groupBy("name").agg(F.count_distinct("repo_id").alias("n_repos"))
-
-
-def _npm_names(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "files", "repo_id", "name", "content").where(F.lower("name") == "package-lock.json")
-    return f.select("repo_id", F.explode(F.regexp_extract_all("content", F.lit(r'"node_modules/([^"]+)"'), F.lit(1))).alias("name")).distinct()
+    return libs.groupBy("name").agg(F.count_distinct("repo_id").alias("n_repos"))
 
 
 @query("""WITH l AS (SELECT file_id, language, unnest(str_split(content, chr(10))) AS line FROM (SELECT DISTINCT file_id, language, content FROM files) WHERE content IS NOT NULL),
@@ -196,8 +191,8 @@ def C13_evidence_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT DISTINCT repo_id, path, str_split(path, '/') AS s FROM files WHERE path IS NOT NULL),
- m AS (SELECT repo_id, CASE WHEN len(s) < 2 THEN '' WHEN s[1] IN ('services', 'apps', 'packages', 'modules', 'libs', 'cmd', 'pkg', 'internal', 'projects') THEN CASE WHEN len(s) > 2 THEN s[1] || '/' || s[2] ELSE s[1] END
- WHEN s[1] IN ('.github', 'docs', 'doc', 'deploy', 'deployment', 'charts', 'helm', 'k8s', 'infra', 'terraform', 'scripts', 'test', 'tests', 'config') THEN '' ELSE s[1] END AS module FROM p)
+ m AS (SELECT repo_id, CASE WHEN len(s) < 2 THEN '' WHEN s[1] IN ('projects', 'services', 'apps', 'packages', 'modules', 'libs', 'components', 'cmd', 'src') THEN CASE WHEN len(s) > 2 THEN s[1] || '/' || s[2] ELSE s[1] END
+ WHEN s[1] IN ('deploy', 'deployment', 'deployments', 'docker', 'dockerfiles', 'k8s', 'kubernetes', 'kube', 'manifests', 'manifest', 'chart', 'charts', 'helm', 'helmfile', 'kustomize', 'overlays', 'infra', 'infrastructure', 'terraform', 'tf', 'ansible', 'ops', 'argocd', 'flux', 'skaffold', 'compose', 'ci', 'build', 'scripts', 'config', 'configs', 'etc', 'env', 'environments', '.github', '.gitlab', '.circleci') THEN '' ELSE s[1] END AS module FROM p)
  SELECT repo_id, module, count(*) AS n FROM m GROUP BY ALL""")
 def C14_modules(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "files", "repo_id", "path").where("path is not null").distinct()
@@ -579,11 +574,10 @@ def I8_flow_trace(spark: SparkSession, d: str) -> DataFrame:
     return two.groupBy(graph.repo_of(F.col("p.a")).alias("from_repo"), graph.repo_of(F.col("q.b")).alias("to_repo")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {E}, n AS (SELECT DISTINCT id FROM nodes WHERE contains(lower(coalesce(name, '')), 'edge')) SELECT type, count(*) AS n FROM e WHERE status = 'active' AND source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) GROUP BY type""")
+@query(f"""WITH {E}, n AS (SELECT DISTINCT id FROM nodes WHERE contains(lower(coalesce(name, '')), 'edge') OR contains(lower(coalesce(label, '')), 'edge')) SELECT type, count(*) AS n FROM e WHERE status = 'active' AND source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) GROUP BY type""")
 def I11_search_subgraph(spark: SparkSession, d: str) -> DataFrame:
     hit = graph.search(nodes(spark, d), "edge").where("tier <= 3").select(F.col("id").alias("node_id"))
-    named = nodes(spark, d).where(F.lower(F.coalesce("name", F.lit(""))).contains("edge")).select(F.col("id").alias("node_id"))
-    return traverse.induced(edges(spark, d), hit.join(named.distinct(), "node_id", "left_semi")).groupBy("type").agg(F.count("*").alias("n"))
+    return traverse.induced(edges(spark, d), hit).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {E}, l AS (SELECT DISTINCT split_part(source_id, ':', 1) AS a, split_part(target_id, ':', 1) AS b FROM e WHERE status = 'active' AND type = 'OWNED_BY')
@@ -604,7 +598,7 @@ def I12_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT name, vclass AS value_class, count(*) AS n FROM (SELECT docker_id, e.key AS name, CASE WHEN v IS NULL OR v = '' THEN 'opaque'
- WHEN regexp_matches(upper(e.key), 'PASSWORD|PASSWD|SECRET|TOKEN|APIKEY|API_KEY|PRIVATE_KEY|CREDENTIAL|ACCESS_KEY') THEN 'secret' WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN 'url'
+ WHEN regexp_matches(upper(e.key), 'SECRET|TOKEN|PASSWORD|PASSWD|API_KEY|APIKEY|PRIVATE|CREDENTIAL|AUTH') THEN 'secret' WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN 'url'
  WHEN length(v) >= 20 AND NOT contains(v, ' ') AND list_entropy >= 4.0 THEN 'secret'
  WHEN lower(v) IN ('true', 'false', 'yes', 'no', 'on', 'off') THEN 'boolean' WHEN regexp_matches(v, '^-?\\d+(\\.\\d+)?$') THEN 'number'
  WHEN regexp_matches(v, '^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+(:\\d+)?$') THEN 'hostname' WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9_-]{0,31}$') THEN 'enum' ELSE 'opaque' END AS vclass

@@ -144,3 +144,28 @@ def test_streams(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("tumbled").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("tumbled").count() >= 1
+
+
+def test_snapshot_follows_the_data(spark):
+    from claimweave.engine import Config, Engine
+
+    nodes = spark.createDataFrame([("a", "r", "Service", "a", "a")], "id string, repo_id string, type string, name string, label string")
+    edge = lambda c: spark.createDataFrame([("a", "CALLS_SERVICE", "b", c)], "source_id string, type string, target_id string, confidence double").withColumn("status", F.lit("active"))
+    ids = [Engine(nodes, edge(0.7)).snapshot(), Engine(nodes, edge(0.7)).snapshot(), Engine(nodes, edge(0.8)).snapshot(), Engine(nodes, edge(0.7), Config.of(floor=0.5)).snapshot()]
+    assert ids[0] == ids[1] and len(set(ids)) == 3
+
+
+def test_phases_order_resolvers(spark):
+    from claimweave.engine import Registry
+
+    r, seen = Registry(), []
+    claims = spark.createDataFrame([("a", "b")], "source_id string, target_id string")
+    shape = lambda df: df.select("source_id", F.lit("T").alias("type"), "target_id", F.lit(0.9).alias("confidence"), F.lit("k").alias("claim_key"))
+
+    def late(c, edges):
+        seen.append(edges.count())
+        return shape(c)
+
+    r.register("late", late, "join", 1)
+    r.register("early", shape, "broadcast", 900)
+    assert {x.detected_by for x in r.link(claims).collect()} == {"late", "early"} and seen == [1]

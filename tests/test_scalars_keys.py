@@ -17,7 +17,7 @@ def test_paths(spark):
     assert col(spark, ["/a/{id}/{x}", None], K.positional) == ["/a/{}/{}", None]
     assert col(spark, ["get", " Any ", "FETCH", None], K.http_method) == ["GET", "ANY", "GET", "GET"]
     assert col(spark, ["a/../../b/./c", "/x//y", "..", ""], K.safe_path) == ["b/c", "x/y", "", ""]
-    assert col(spark, ["services/a/b.py", "services/a", "docs/x/y", "src/m/n", "top"], K.module_of) == ["services/a", "services", "", "src", ""]
+    assert col(spark, ["services/a/b.py", "services/a", "deploy/x/y", "K8s/x", "src/m/n", "docs/x", "top", "/a//b"], K.module_of) == ["services/a", "services", "", "", "src/m", "docs", "", "a"]
     assert col(spark, ["a-b-c", "-x", "", "abc"], K.domain_of) == ["a", "(unnamed)", "(unnamed)", "abc"]
 
 
