@@ -45,13 +45,12 @@ def match_http(calls: DataFrame, contracts: DataFrame, cap: int = CAP, exact: fl
     c = calls.select("call_id", "repo_id", keys.http_method(F.col("method")).alias("m"), F.col("template").alias("t"), F.coalesce("service", F.lit(ANY_SERVICE)).alias("s")).distinct()
     c = c.withColumn("p", keys.positional(F.col("t")))
     on = ["p", "m", "s"]
-    takes = F.when(F.upper("method") == "ANY", F.array(*[F.lit(x) for x in keys.METHODS])).otherwise(F.array(F.upper("method")))
-    own = contracts.select("contract_id", F.col("repo_id").alias("provider_repo"), F.col("template").alias("ct"), keys.positional(F.col("template")).alias("p"), F.explode(takes).alias("m"), F.array_compact(F.array(F.lit(ANY_SERVICE), F.col("service"))).alias("ss"))
-    own = own.withColumn("s", F.explode("ss")).groupBy(*on, "provider_repo", "contract_id").agg(F.collect_set("ct").alias("cts"))
+    own = contracts.select("contract_id", F.col("repo_id").alias("provider_repo"), keys.positional(F.col("template")).alias("p"), F.struct(F.upper("method").alias("m"), F.col("service").alias("s"), F.col("template").alias("t")).alias("row"))
+    own = own.where(F.col("contract_id").isNotNull()).groupBy("p", "contract_id", "provider_repo").agg(F.collect_set("row").alias("rows"))
     own = materialize(own)
-    every = own.groupBy(*on, "contract_id").agg(F.min("provider_repo").alias("provider_repo"), F.array_distinct(F.flatten(F.collect_list("cts"))).alias("cts"))
-    listed = _listed(every, on, cap).withColumnsRenamed({"n": "n_all", "l": "l_all"})
-    inside = _listed(own, [*on, "provider_repo"], cap).withColumnsRenamed({"n": "n_same", "l": "l_same", "provider_repo": "repo_id"})
+    every = own.groupBy("p", "contract_id").agg(F.min("provider_repo").alias("provider_repo"), F.flatten(F.collect_list("rows")).alias("rows"))
+    listed = _listed(_by_key(every), on, cap).withColumnsRenamed({"n": "n_all", "l": "l_all"})
+    inside = _listed(_by_key(own), [*on, "provider_repo"], cap).withColumnsRenamed({"n": "n_same", "l": "l_same", "provider_repo": "repo_id"})
     j = c.join(inside, [*on, "repo_id"], "left").join(listed, on, "left")
     n = F.coalesce("n_same", "n_all", F.lit(0)).cast("bigint")
     chosen = F.when(F.col("n_same").isNotNull(), F.col("l_same")).otherwise(F.col("l_all"))
@@ -61,6 +60,16 @@ def match_http(calls: DataFrame, contracts: DataFrame, cap: int = CAP, exact: fl
     return rows.select("call_id", "repo_id", "x.contract_id", "x.provider_repo", conf.alias("confidence"), "n_contracts", "outcome")
 
 
+def _by_key(own: DataFrame) -> DataFrame:
+    """Contracts once for every method and service under which a call can ask for them, with the templates that apply."""
+    methods = lambda r: F.when(r["m"] == "ANY", F.array(*[F.lit(x) for x in keys.METHODS])).otherwise(F.array(r["m"]))
+    services = lambda r: F.array_compact(F.array(F.lit(ANY_SERVICE), r["s"]))
+    asked = F.transform("rows", lambda r: F.flatten(F.transform(methods(r), lambda m: F.transform(services(r), lambda s: F.struct(m.alias("m"), s.alias("s"))))))
+    rows = own.select("p", "contract_id", "provider_repo", "rows", F.inline(F.array_distinct(F.flatten(asked))))
+    applies = lambda r: ((r["m"] == F.col("m")) | (r["m"] == "ANY")) & ((F.col("s") == ANY_SERVICE) | (r["s"] == F.col("s")))
+    return rows.select("p", "m", "s", "contract_id", "provider_repo", F.transform(F.filter("rows", applies), lambda r: r["t"]).alias("cts"))
+
+
 def _listed(rows: DataFrame, on: list[str], cap: int) -> DataFrame:
     """Per key the number of contracts (n) and, up to `cap` of them, the list l."""
     counted = rows.groupBy(*on).agg(F.count("*").alias("n"))
