@@ -276,7 +276,7 @@ def workload_children(adj: DataFrame) -> DataFrame:
 def shred_children(k8s: DataFrame, catalog: DataFrame) -> DataFrame:
     """All child rows of workloads and catalog entities with record, parent and position."""
     adj = materialize(shred_json(once(catalog, "record_id"), "record_id", "payload"))
-    work = shred_workloads(once(k8s, "resource_id"), frozenset(("name", "env", "host", "backend_service")))
+    work = materialize(shred_workloads(once(k8s, "resource_id"), frozenset(("name", "env", "host", "backend_service"))))
     return workload_children(work).unionByName(catalog_apis(adj))
 
 
