@@ -169,3 +169,11 @@ def test_phases_order_resolvers(spark):
     r.register("late", late, "join", 1)
     r.register("early", shape, "broadcast", 900)
     assert {x.detected_by for x in r.link(claims).collect()} == {"late", "early"} and seen == [1]
+
+
+def test_skipped_files_are_counted(spark):
+    rows = [("r", "a.py", 3, "x=1"), ("r", "big.py", 9, "y" * 50), ("r", "node_modules/a.js", 1, "z"), ("r", "b.bin", 7, None), ("s", "c.min.egg-info/d", 2, "zz")]
+    f = spark.createDataFrame(rows, "repo_id string, path string, size_bytes bigint, content string")
+    got = {(r.repo_id, r.reason): (r.n_files, r.n_bytes) for r in P.skipped(f, largest=20).collect()}
+    assert got == {("r", "too_large"): (1, 50), ("r", "ignored"): (1, 1), ("r", "unreadable"): (1, 7), ("s", "ignored"): (1, 2)}
+    assert [r.path for r in P.scannable(f, largest=20).collect()] == ["a.py"]
