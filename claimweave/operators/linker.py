@@ -27,14 +27,19 @@ from pyspark.sql import functions as F
 from claimweave.functions import keys
 from claimweave.operators import graph, resolve, resolvers
 from claimweave.operators.control import CORRELATED, Control
-from claimweave.runtime import materialize
+from claimweave.runtime import materialize, noted
 
 CLAIMS = "id string, repo_id string, kind string, direction string, key string, hint string, path string, line int, attrs map<string,string>, node_id string"
 EDGES = ("source_id", "source_label", "type", "target_id", "target_label", "source_repo", "target_repo", "confidence", "match_type", "via", "evidence", "claim_key", "detected_by")
 #: Sources of a service name that names the service of its own file, and those that name another one (fixed values).
 OWNING = ("spring.application.name", "otel-env")
 REFERENCING = ("config-filename", "prometheus-job")
-GATEWAY_TIERS = ("gateway_exact", "gateway_template")
+#: Kinds of claims, and the rules that need one of some kinds to give anything.
+KINDS = ("svcname", "env", "cfgread", "http", "route", "grpcop", "grpcstub", "gql", "topic", "dataset", "lib", "mcpop", "a2aop", "policy", "declared", "owner", "webhook")
+NEEDS = {
+    "members": "svcname", "env_hosts": "env", "policies": "policy", "gitops": "declared", "built_from": "svcname", "modules": "svcname", "deployments": "svcname", "compose": "svcname", "libraries": "lib", "gateways": "route",
+    "grpc": "grpcop grpcstub", "http": "http", "graphql": "gql", "env_reads": "cfgread", "topics": "topic", "webhooks": "webhook", "same_operations": "grpcop", "datasets": "dataset", "agents": "mcpop a2aop", "ownership": "owner",
+}
 
 
 def service_node(name: Column) -> Column:
@@ -46,7 +51,9 @@ class Linker:
         self.control = control or Control()
         self.spark = claims.sparkSession
         c = claims.select(*[x.split()[0] for x in CLAIMS.split(", ")]).dropDuplicates(["id"])
-        self.claims = materialize(c.where(resolve.matchable(F.col("key"))))
+        self.claims = materialize(c.where(resolve.matchable(F.col("key"))), **{k: F.count_if(F.col("kind") == k) for k in KINDS})
+        #: Kinds of which there are claims: rules and steps of other kinds need not run.
+        self.kinds = {k for k in KINDS if noted(self.claims, k)}
         self.conf = self.control.conf
 
     # Parts of claims
@@ -127,8 +134,9 @@ class Linker:
     @cached_property
     def service_repos(self) -> DataFrame:
         """service_id, repo_id from the repositories that services are built from."""
-        built = self.built_from().select(F.col("source_id").alias("service_id"), F.col("target_id").alias("repo_id"))
-        return materialize(built.unionByName(self.gitops().select(F.col("source_id").alias("service_id"), F.col("target_id").alias("repo_id"))).distinct())
+        both = [self.built_from(), *([self.gitops()] if "declared" in self.kinds else [])]
+        pairs = [x.select(F.col("source_id").alias("service_id"), F.col("target_id").alias("repo_id")) for x in both]
+        return materialize(reduce(DataFrame.unionByName, pairs).distinct())
 
     @cached_property
     def sole_repo(self) -> DataFrame:
@@ -259,17 +267,24 @@ class Linker:
         c = c.select("id", "repo_id", F.substring_index("k", ":", 1).alias("method"), F.expr("substring(k, instr(k, ':') + 1)").alias("template"), F.lower("hint").alias("hint"), F.col("attrs")["base_var"].alias("base_var"), F.coalesce(F.col("attrs")["ui"], F.lit("false")).alias("ui"), "path", "evidence", "node_id")
         c = materialize(c)
         open_ = c.where("hint is null")
-        env = self.service_of(self.of("env", "provides").where(F.col("attrs")["value"].rlike("^[a-z]+://")).withColumn("host", keys.bare_host(keys.url_class(F.col("attrs")["value"])["host"])), "host", "sid").where("sid is not null")
-        read = env.select("repo_id", "path", F.col("key").alias("name"), F.col("host").alias("service")).distinct()
-        conf = resolvers.config_target(open_.select(F.col("id").alias("call_id"), "repo_id", "path", "base_var"), read).where("service is not null").select(F.col("call_id").alias("id"), F.col("service").alias("from_config"))
-        gate = resolvers.longest_prefix(open_.select(F.col("id").alias("call_id"), "repo_id", F.col("template").alias("path")), self.routes.select("prefix", "target", "repo_id"))
-        gate = gate.where("target is not null").select(F.col("call_id").alias("id"), "prefix", F.col("target").alias("from_gate"))
-        rule = self.routes.groupBy("prefix", F.col("target").alias("from_gate")).agg(F.bool_or("strip").alias("strip"))
+        nothing = c.where("false").select("id")
+        conf, gate = nothing.withColumn("from_config", F.lit("")), nothing.select("id", F.lit("").alias("prefix"), F.lit("").alias("from_gate"))
+        if "env" in self.kinds:
+            env = self.service_of(self.of("env", "provides").where(F.col("attrs")["value"].rlike("^[a-z]+://")).withColumn("host", keys.bare_host(keys.url_class(F.col("attrs")["value"])["host"])), "host", "sid").where("sid is not null")
+            read = env.select("repo_id", "path", F.col("key").alias("name"), F.col("host").alias("service")).distinct()
+            conf = resolvers.config_target(open_.select(F.col("id").alias("call_id"), "repo_id", "path", "base_var"), read).where("service is not null").select(F.col("call_id").alias("id"), F.col("service").alias("from_config"))
+        routed = "route" in self.kinds
+        if routed:
+            gate = resolvers.longest_prefix(open_.select(F.col("id").alias("call_id"), "repo_id", F.col("template").alias("path")), self.routes.select("prefix", "target", "repo_id"))
+            gate = gate.where("target is not null").select(F.col("call_id").alias("id"), "prefix", F.col("target").alias("from_gate"))
+        rule = self.routes.groupBy("prefix", F.col("target").alias("from_gate")).agg(F.bool_or("strip").alias("strip")) if routed else gate.select("prefix", "from_gate", F.lit(False).alias("strip"))
         j = c.join(conf, "id", "left").join(gate, "id", "left").join(rule, ["prefix", "from_gate"], "left")
         how = F.when(F.col("hint").isNotNull(), "hint").when(F.col("from_config").isNotNull(), "config").when(F.col("from_gate").isNotNull(), "gateway")
         cut = F.concat(F.lit("/"), F.ltrim(F.expr("substring(template, length(prefix) + 1)"), F.lit("/")))
         template = F.when((how == "gateway") & F.col("strip"), cut).otherwise(F.col("template"))
         first = j.select("id", "repo_id", "method", template.alias("template"), F.coalesce("hint", "from_config", "from_gate").alias("service"), how.alias("how"), "path", "evidence", "node_id", "ui").where("service is not null")
+        if not routed:
+            return materialize(first.select("id", "repo_id", "method", "template", "service", "how", F.lit(1).alias("hops"), "path", "evidence", "node_id", "ui"))
         # A service that is a gateway itself sends the call on.
         gates = self.routes.select(F.col("gateway").alias("service")).distinct()
         through = first.join(gates, "service", "left_semi")
@@ -417,9 +432,9 @@ class Linker:
     # Rollups and the whole run
 
     def rules(self) -> dict[str, DataFrame]:
-        """Edges of every rule, in order of precedence."""
+        """Edges of every rule that has claims to work on, in order of precedence; the first always gives (empty) edges."""
         order = (self.members, self.env_hosts, self.policies, self.gitops, self.aliases, self.built_from, self.modules, self.deployments, self.compose, self.libraries, self.gateways, self.grpc, self.http, self.graphql, self.env_reads, self.topics, self.webhooks, self.same_operations, self.datasets, self.agents, self.ownership)
-        return {f.__name__: f() for f in order}
+        return {f.__name__: f() for f in order if f.__name__ not in NEEDS or self.kinds & set(NEEDS[f.__name__].split())}
 
     def calls_rollup(self, edges: DataFrame) -> DataFrame:
         """INVOKES and UI_CALLS to calls between services: the service of the citing file, the service of the contract."""
@@ -443,8 +458,9 @@ class Linker:
     def raw(self) -> DataFrame:
         """Edges of all rules and rollups before fusion; each rule is written by itself, so no plan holds all of them."""
         # What rules share is written first; then the rules, which do not wait for each other.
-        for shared in ("by_name", "sites", "sole_repo", "routes", "calls", "contracts"):
-            getattr(self, shared)
+        for shared, kind in (("by_name", None), ("sites", None), ("sole_repo", None), ("routes", "route"), ("calls", "http"), ("contracts", "http"), ("contracts", "webhook"), ("contracts", "grpcop")):
+            if kind is None or kind in self.kinds:
+                getattr(self, shared)
         with ThreadPoolExecutor(8) as pool:
             found = reduce(DataFrame.unionByName, pool.map(materialize, self.rules().values()))
         calls = materialize(self.calls_rollup(found))
