@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import keys
-from claimweave.operators import graph, resolve, resolvers
+from claimweave.operators import graph, hubs, resolve, resolvers
 from claimweave.operators.control import CORRELATED, Control
-from claimweave.runtime import materialize, noted
+from claimweave.runtime import materialize, noted, together
 
 CLAIMS = "id string, repo_id string, kind string, direction string, key string, hint string, path string, line int, attrs map<string,string>, node_id string"
 EDGES = ("source_id", "source_label", "type", "target_id", "target_label", "source_repo", "target_repo", "confidence", "match_type", "via", "evidence", "claim_key", "detected_by")
@@ -75,12 +75,18 @@ class Linker:
 
     # Services, names and scopes
 
+    def canonical(self, rows: DataFrame, column: str) -> DataFrame:
+        """Rows with the canonical form of a name; without aliases there is nothing to join."""
+        if not self.control.aliases:
+            return rows.withColumn("canonical", F.lower(column))
+        return resolvers.canonical(rows, F.broadcast(self.control.alias_frame(self.spark)), column)
+
     @cached_property
     def names(self) -> DataFrame:
         """Provided service names: id, repo_id, scope, name (canonical), attrs, path, evidence, key."""
         p = self.of("svcname", "provides").withColumn("raw", F.substring_index("key", ":", -1))
         scope = F.lower(F.coalesce(F.nullif(F.trim(F.col("attrs")["scope"]), F.lit("")), F.lit("default")))
-        out = resolvers.canonical(p.withColumn("scope", scope), self.control.alias_frame(self.spark), "raw")
+        out = self.canonical(p.withColumn("scope", scope), "raw")
         return materialize(out.withColumn("name", F.col("canonical")).drop("canonical", "raw"))
 
     @cached_property
@@ -99,7 +105,7 @@ class Linker:
     def service_of(self, rows: DataFrame, column: str, out: str) -> DataFrame:
         """Rows with the service that the name in `column` stands for (null where none was minted)."""
         low = rows.withColumn("_n", F.lower(F.trim(column)))
-        named = resolvers.canonical(low, self.control.alias_frame(self.spark), "_n").drop("_n")
+        named = self.canonical(low, "_n").drop("_n")
         return named.join(self.by_name.select(F.col("name").alias("canonical"), F.col("service_id").alias(out)), "canonical", "left").drop("canonical")
 
     @cached_property
@@ -446,32 +452,61 @@ class Linker:
         return self.edge(g, "calls_rollup", "CALLS_SERVICE", F.col("site_service"), "Service", F.col("t"), "Service", F.col("c"), "rollup", via="http", source_repo="s_repo", target_repo="t_repo")
 
     def repo_rollup(self, edges: DataFrame) -> DataFrame:
-        """Everything that crosses repositories to one edge per pair of them."""
+        """Everything that crosses repositories to one edge per pair of them. Calls between services without one repository
+        each stand for all pairs of theirs, which may be nearly all pairs there are: these are listed when they are read."""
         direct = edges.where(F.col("type").isin("INVOKES", "UI_CALLS", "CALLS_SERVICE") & F.col("source_repo").isNotNull() & F.col("target_repo").isNotNull()).select("source_repo", "target_repo", "confidence", "evidence")
-        wide = edges.where("type = 'ROUTES_TO' or type = 'CALLS_SERVICE' and (source_repo is null or target_repo is null)").select("source_id", "target_id", "confidence", "evidence")
-        of = lambda end, out: self.service_repos.select(F.col("service_id").alias(end), F.col("repo_id").alias(out))
-        wide = wide.join(of("source_id", "source_repo"), "source_id").join(of("target_id", "target_repo"), "target_id").select("source_repo", "target_repo", "confidence", "evidence")
-        g = direct.unionByName(wide).where("source_repo <> target_repo").groupBy("source_repo", "target_repo").agg(F.max("confidence").alias("c"), F.min("evidence").alias("evidence"))
-        return self.edge(g, "deps_rollup", "DEPENDS_ON_REPO", F.col("source_repo"), "Repo", F.col("target_repo"), "Repo", F.col("c"), "rollup", source_repo="source_repo", target_repo="target_repo")
+        best = (F.max("confidence").alias("confidence"), F.min("evidence").alias("evidence"))
+        wide = edges.where("type = 'ROUTES_TO' or type = 'CALLS_SERVICE' and (source_repo is null or target_repo is null)")
+        wide = materialize(wide.groupBy("source_id", "target_id").agg(*best))
+        g = direct.where("source_repo <> target_repo").groupBy("source_repo", "target_repo").agg(*best)
+        if noted(wide):
+            # Services that many repositories build are hubs: target repositories to source services, then these to source
+            # repositories. A repository is the hub of what it calls directly.
+            built = self.service_repos.select(F.col("service_id").alias("hub"), F.col("repo_id").alias("source"))
+            to = hubs.pairs(built, wide.select(F.col("target_id").alias("hub"), F.col("source_id").alias("target"), "confidence", "evidence"))
+            own = F.concat(F.lit("\u0001"), "source_repo").alias("hub")
+            to = to.select(F.col("target").alias("hub"), F.col("source").alias("target"), "confidence", "evidence").unionByName(g.select(own, F.col("target_repo").alias("target"), "confidence", "evidence"))
+            g = hubs.pairs(built.unionByName(g.select(own, F.col("source_repo").alias("source"))), to).select(F.col("source").alias("source_repo"), F.col("target").alias("target_repo"), "confidence", "evidence").where("source_repo <> target_repo")
+        return self.edge(g, "deps_rollup", "DEPENDS_ON_REPO", F.col("source_repo"), "Repo", F.col("target_repo"), "Repo", F.col("confidence"), "rollup", source_repo="source_repo", target_repo="target_repo")
 
     @cached_property
-    def raw(self) -> DataFrame:
-        """Edges of all rules and rollups before fusion; each rule is written by itself, so no plan holds all of them."""
+    def found(self) -> DataFrame:
+        """Edges of all rules and calls between services; each rule is written by itself, so no plan holds all of them."""
         # What rules share is written first; then the rules, which do not wait for each other.
         for shared, kind in (("by_name", None), ("sites", None), ("sole_repo", None), ("routes", "route"), ("calls", "http"), ("contracts", "http"), ("contracts", "webhook"), ("contracts", "grpcop")):
             if kind is None or kind in self.kinds:
                 getattr(self, shared)
-        with ThreadPoolExecutor(8) as pool:
-            found = reduce(DataFrame.unionByName, pool.map(materialize, self.rules().values()))
-        calls = materialize(self.calls_rollup(found))
-        return found.unionByName(calls).unionByName(materialize(self.repo_rollup(found.unionByName(calls))))
+        # Few at a time: the driver holds the plans and broadcasts of all that run.
+        with ThreadPoolExecutor(3) as pool:
+            found = list(pool.map(materialize, self.rules().values()))
+        return together([*found, materialize(self.calls_rollup(together(found)))])
+
+    @cached_property
+    def between_repos(self) -> DataFrame:
+        """The rollup to repositories, one row per pair. Where the library rule finds such edges as well, it is read several
+        times and so written."""
+        deps = self.repo_rollup(self.found)
+        return materialize(deps) if "lib" in self.kinds else deps
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        """Edges of all rules and rollups before fusion."""
+        return self.found.unionByName(self.between_repos)
 
     def edges(self) -> DataFrame:
         """Fused edges with status: one row per (source, type, target)."""
-        fused = graph.fuse(self.raw, self.control.fusion_cap, CORRELATED)
-        first = self.raw.groupBy("source_id", "type", "target_id").agg(F.max_by(F.struct("source_label", "target_label", "source_repo", "target_repo", "match_type"), F.struct("confidence", "detected_by")).alias("b"), F.min("evidence").alias("evidence"))
-        j = fused.join(first, ["source_id", "type", "target_id"]).select("source_id", "type", "target_id", "b.*", "confidence", "n_rows", "detected_by", "evidence", F.lit("active").alias("status"))
-        return graph.replay_decisions(graph.with_floor(j, self.control.floor), self.control.decision_frame(self.spark))
+        key, deps = ["source_id", "type", "target_id"], self.between_repos
+        many = self.found
+        if "lib" in self.kinds:
+            # Pairs that another rule has found too are fused with it; all others are single rows already.
+            shared = self.found.where("type = 'DEPENDS_ON_REPO'").select(*key).distinct()
+            many, deps = many.unionByName(deps.join(shared, key, "left_semi").select(*deps.columns)), deps.join(shared, key, "left_anti")
+        fused = graph.fuse(many, self.control.fusion_cap, CORRELATED)
+        first = many.groupBy(*key).agg(F.max_by(F.struct("source_label", "target_label", "source_repo", "target_repo", "match_type"), F.struct("confidence", "detected_by")).alias("b"), F.min("evidence").alias("evidence"))
+        j = fused.join(first, key).select(*key, "b.*", "confidence", "n_rows", "detected_by", "evidence")
+        alone = deps.withColumn("n_rows", F.lit(1).cast("bigint")).select(*j.columns)
+        out = graph.with_floor(j.unionByName(alone).withColumn("status", F.lit("active")), self.control.floor)
+        return graph.replay_decisions(out, F.broadcast(self.control.decision_frame(self.spark))) if self.control.decisions else out
 
     def counters(self) -> DataFrame:
         """Rows that every detector gave, zero included: counter, n."""
